@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import clusters, distinctive, ngrams, unify
+from lexforge.llm import clusters, distinctive, ngrams, packing, tokens, unify
 from lexforge.operators.records import one_per_id
 from lexforge.session import cut, table
 
@@ -173,5 +173,31 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_terms(spark, d).filter("mark IS NOT NULL").select("field", "term", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_frame_lemmas, p3_found, p3_weights, p4_found, p4_members, p4_clusters, p5_found, p5_ngrams, p5_terms)}
+# --- 7 and 8: token ids and packs
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, ids: every document by byte_bpe_50k without special tokens; [] for null and empty texts."""
+    return table(spark, d, "documents").select("doc_id", tokens.token_ids(F.col("text")).alias("ids"))
+
+
+def p7_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", tokens.token_count(F.col("text")).alias("n_tokens"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = cut(p7_lengths(spark, d).select(F.col("doc_id").alias("item_id"), F.col("n_tokens").alias("size")), "sizes")
+    return packing.pack_items(sizes, table(spark, d, "pack_sizes"))
+
+
+def p8_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with text in a pack of each capacity; part and start tell the pieces of one too long for any pack."""
+    return _packed(spark, d).withColumnRenamed("item_id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(_packed(spark, d), table(spark, d, "pack_sizes"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_frame_lemmas, p3_found, p3_weights, p4_found, p4_members, p4_clusters, p5_found, p5_ngrams, p5_terms, p7_ids, p7_lengths, p8_packs, p8_fill)}
 ORACLE: dict[str, str] = {}
