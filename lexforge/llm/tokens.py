@@ -100,7 +100,10 @@ class ForcedBoundaryEncoder:
         return pa.array(np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])]), pa.int64())
 
 
-encoder = lru_cache(maxsize=2)(ForcedBoundaryEncoder)  # one per Python worker and vocabulary
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> ForcedBoundaryEncoder:
+    """One per Python worker and vocabulary."""
+    return ForcedBoundaryEncoder(path, pattern)
 
 
 def token_ids(text: Column, path: str = VOCABULARY, pattern: str = PATTERN) -> Column:
