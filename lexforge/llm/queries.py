@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import clusters, distinctive, ngrams, packing, tokens, unify
+from lexforge.llm import clusters, distinctive, ngrams, packing, subjects, tokens, unify
 from lexforge.operators.records import one_per_id
 from lexforge.session import cut, table
 
@@ -199,5 +199,22 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(_packed(spark, d), table(spark, d, "pack_sizes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_frame_lemmas, p3_found, p3_weights, p4_found, p4_members, p4_clusters, p5_found, p5_ngrams, p5_terms, p7_ids, p7_lengths, p8_packs, p8_fill)}
+# --- 9: subject areas
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, subject: the subjects that a main share of the text's sentences is about."""
+    documents = table(spark, d, "documents")
+    model = subjects.train(documents, table(spark, d, "doc_labels"))
+    return subjects.subject_shares(documents, model).filter(F.col("share") >= (model.least_share if model else 1)).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """subject, documents, share of all documents with text: the make-up of the corpus by subject."""
+    documents = table(spark, d, "documents")
+    n = documents.filter(F.length(F.trim("text")) > 0).agg(F.count("*")).scalar()
+    return p9_found(spark, d).groupBy("subject").agg(F.count("*").alias("documents")).withColumn("share", F.col("documents") / n)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_frame_lemmas, p3_found, p3_weights, p4_found, p4_members, p4_clusters, p5_found, p5_ngrams, p5_terms, p7_ids, p7_lengths, p8_packs, p8_fill, p9_found, p9_composition)}
 ORACLE: dict[str, str] = {}
