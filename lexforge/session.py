@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -26,6 +29,17 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g")
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        root, at = os.path.dirname(os.path.abspath(__file__)), tempfile.mkdtemp(prefix="lexforge-code-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        shutil.copytree(root, f"{at}/src/lexforge", ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/lexforge-{app}", "zip", f"{at}/src"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
