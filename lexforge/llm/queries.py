@@ -77,7 +77,8 @@ def _gloss_records(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p3_weights(spark: SparkSession, d: str) -> DataFrame:
-    return _union([distinctive.log_entropy(r).select(F.lit(t).alias("record_table"), "*") for t, r in _gloss_records(spark, d).items()])
+    rows = _union([distinctive.log_entropy(r).select(F.lit(t).alias("record_table"), "*") for t, r in _gloss_records(spark, d).items()])
+    return rows.withColumns({c: F.round(c, 6) for c in ("entropy_weight", "score")})
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -217,4 +218,20 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_frame_lemmas, p3_found, p3_weights, p4_found, p4_members, p4_clusters, p5_found, p5_ngrams, p5_terms, p7_ids, p7_lengths, p8_packs, p8_fill, p9_found, p9_composition)}
-ORACLE: dict[str, str] = {}
+_G = {"lemmas": "SELECT DISTINCT ON (lemma_id) lemma_id AS id, lsj_glosses AS g FROM lemmas", "lemma_frames": "SELECT DISTINCT ON (row_id) row_id AS id, gloss AS g FROM lemma_frames"}
+
+
+def _weights_sql(t: str) -> str:
+    tf = f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(g), '\\p{{L}}+')) AS term FROM ({_G[t]})) GROUP BY 1, 2"
+    st = f"SELECT term, count(*) AS df, sum(tf) AS gf, sum(tf * ln(tf)) AS s FROM ({tf}) GROUP BY 1"
+    return f"SELECT '{t}' AS record_table, id AS record_id, a.term, tf, df, CAST(gf AS BIGINT) AS gf, 1 + (s / gf - ln(gf)) / ln((SELECT count(*) FROM ({_G[t]}))) AS w FROM ({tf}) a JOIN ({st}) b ON a.term = b.term"
+
+
+_SETS = f"(SELECT id, list_distinct(regexp_extract_all(lower(g), '\\p{{L}}+')) AS t FROM ({_G['lemmas']}) WHERE g IS NOT NULL)"
+_BOOKS = "(SELECT book_id, [" + ", ".join(f"topic_{i} / (" + " + ".join(f"topic_{k}" for k in range(BOOK_TOPICS)) + ")" for i in range(BOOK_TOPICS)) + "] AS v FROM (SELECT DISTINCT ON (book_id) * FROM topic_prevalence_by_book) WHERE " + " AND ".join(f"topic_{i} IS NOT NULL" for i in range(BOOK_TOPICS)) + ")"
+
+ORACLE: dict[str, str] = {
+    "p3_weights": " UNION ALL ".join(f"SELECT record_table, record_id, term, tf, df, gf, round(w, 6) AS entropy_weight, round(ln(1 + tf) * w, 6) AS score FROM ({_weights_sql(t)})" for t in _G),
+    "p3_found": " UNION ALL ".join(f"SELECT record_table, record_id, term FROM ({_weights_sql(t)}) WHERE tf >= 2 AND df BETWEEN 2 AND 8" for t in _G),
+    "p4_found": f"SELECT 'lemmas' AS record_table, a.id AS id_a, b.id AS id_b FROM {_SETS} a JOIN {_SETS} b ON a.id < b.id WHERE len(list_intersect(a.t, b.t)) * 5 >= 3 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AND len(a.t) > 0 AND len(b.t) > 0 UNION ALL SELECT 'topic_prevalence_by_book', a.book_id, b.book_id FROM {_BOOKS} a JOIN {_BOOKS} b ON a.book_id < b.book_id WHERE list_max(list_transform(range(1, {BOOK_TOPICS + 1}), lambda i: abs(a.v[i] - b.v[i]))) <= 0.01",
+}
