@@ -32,6 +32,11 @@ def square_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+def labelled(label: str) -> Column:
+    """Whether a cluster label, of any type, is neither null nor noise (-1)."""
+    return F.coalesce(F.col(label).cast("string") != "-1", F.lit(False))
+
+
 def mean_vector(df: DataFrame, by: list[str], vector: str, dims: int, weight: str | None = None, name: str = "centroid") -> DataFrame:
     """by..., n, <name>: the (weighted) mean vector of each group, place by place; one aggregate with map-side combine.
 

@@ -5,12 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexforge.functions.vectors import dot, mean_vector, norm, square_distance, unit
+from lexforge.functions.vectors import dot, labelled, mean_vector, square_distance, unit
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -72,7 +70,7 @@ def silhouette(df: DataFrame, label: str, vector: str, dims: int) -> DataFrame:
     For unit vectors the mean distance to a cluster is 1 - x . sum / n, so no pairs are formed. Members of a cluster
     of one count 0; null with fewer than two clusters.
     """
-    rows = df.filter(F.col(label).isNotNull() & (F.col(label) != -1) & F.col(vector).isNotNull()).select(F.col(label).alias("l"), unit(F.col(vector)).alias("x"))
+    rows = df.filter(labelled(label) & F.col(vector).isNotNull()).select(F.col(label).alias("l"), unit(F.col(vector)).alias("x"))
     sums = mean_vector(rows, ["l"], "x", dims, name="m")
     packed = sums.agg(F.collect_list(F.struct("l", "n", "m"))).scalar()  # one entry per cluster
     d = rows.withColumn("_c", packed)
@@ -86,7 +84,7 @@ def silhouette(df: DataFrame, label: str, vector: str, dims: int) -> DataFrame:
 
 def calinski_harabasz(df: DataFrame, label: str, vector: str, dims: int) -> DataFrame:
     """One row (items, clusters, score), Euclidean, noise left out (M3)."""
-    rows = df.filter((F.col(label) != -1) & F.col(vector).isNotNull()).select(F.col(label).alias("l"), F.col(vector).alias("x"))
+    rows = df.filter(labelled(label) & F.col(vector).isNotNull()).select(F.col(label).alias("l"), F.col(vector).alias("x"))
     c = mean_vector(rows, ["l"], "x", dims, name="m")
     everything = mean_vector(rows.withColumn("_1", F.lit(1)), ["_1"], "x", dims, name="g").select("g").scalar()
     within = rows.join(c, "l").agg(F.count("*").alias("items"), F.sum(square_distance(F.col("x"), F.col("m"))).alias("w"))
@@ -98,7 +96,7 @@ def calinski_harabasz(df: DataFrame, label: str, vector: str, dims: int) -> Data
 
 def davies_bouldin(df: DataFrame, label: str, vector: str, dims: int) -> DataFrame:
     """One row (clusters, score), Euclidean, noise left out (M3). Pairs are of clusters, gathered per cluster in one array."""
-    rows = df.filter((F.col(label) != -1) & F.col(vector).isNotNull()).select(F.col(label).alias("l"), F.col(vector).alias("x"))
+    rows = df.filter(labelled(label) & F.col(vector).isNotNull()).select(F.col(label).alias("l"), F.col(vector).alias("x"))
     c = mean_vector(rows, ["l"], "x", dims, name="m")
     spread = rows.join(c, "l").groupBy("l", "m").agg(F.avg(F.sqrt(square_distance(F.col("x"), F.col("m")))).alias("s"))
     packed = spread.agg(F.collect_list(F.struct("l", "m", "s"))).scalar()
@@ -125,8 +123,8 @@ def coverage(df: DataFrame, label: str, weight: str) -> DataFrame:
 def quantile_buckets(df: DataFrame, value: str, n: int = 10) -> DataFrame:
     """df plus bucket from 0: by exact interpolated quantile edges, equal edges merged (W7). Null values have null."""
     edges = df.agg(F.percentile(value, F.array(*[F.lit(k / n) for k in range(n + 1)])).alias("e")).select(F.array_distinct("e")).scalar()
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
-    return df.withColumn("bucket", F.when(F.col(value).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(value)))))
+    inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
+    return df.withColumn("_e", edges).withColumn("bucket", F.when(F.col(value).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(value))))).drop("_e")
 
 
 def affix_shares(df: DataFrame, cluster: str, form: str, least: int = 3) -> DataFrame:

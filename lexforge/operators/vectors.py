@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.functions.vectors import dot, mean_vector, unit
+from lexforge.functions.vectors import dot, labelled, mean_vector, unit
 
 
 def centroids(df: DataFrame, by: list[str], vector: str, dims: int, weight: str | None = None, normalise: bool = True) -> DataFrame:
@@ -25,7 +25,7 @@ def two_level_mean(df: DataFrame, outer: str, inner: str, vector: str, dims: int
 
 def rank_by_centroid(df: DataFrame, cluster: str, item: str, vector: str, dims: int) -> DataFrame:
     """cluster, item, similarity to the unit centroid, rank from 1 (ties: item) (W1). Null clusters and noise (-1) are left out."""
-    rows = df.filter(F.col(cluster).isNotNull() & (F.col(cluster) != -1))
+    rows = df.filter(labelled(cluster))
     # one row per cluster
     joined = rows.join(centroids(rows, [cluster], vector, dims), cluster)
     scored = joined.withColumn("similarity", dot(unit(F.col(vector)), F.col("centroid")))
@@ -105,19 +105,32 @@ def max_similarity(df: DataFrame, item: str, vector: str, prompts: DataFrame, gr
     return scored.groupBy(item, F.col("_p.g").alias(group)).agg(F.max(dot(F.col("_v"), F.col("_p.v"))).alias("score"))
 
 
+def _times(factor: Column) -> Callable[[Column], Column]:
+    return lambda x: x * factor
+
+
 def remove_top_components(df: DataFrame, item: str, vector: str, dims: int, k: int = 2) -> DataFrame:
     """item, vector without its mean and its projections on the first k principal directions.
 
-    The d x d second moments are one aggregate over the rows; the eigenvectors are found on the driver from that matrix.
+    Every task sums its rows' d x d moments, these are added up by place, and the eigenvectors are found on the driver
+    from that one matrix. Null vectors stay null.
     """
-    v = [F.col(vector)[i].cast("double") for i in range(dims)]
-    outer = df.filter(F.col(vector).isNotNull()).agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(v)], *[F.sum(v[i] * v[j]).alias(f"m{i}_{j}") for i in range(dims) for j in range(i, dims)]).first()
-    n = max(outer["n"], 1)
-    mean = np.array([(outer[f"s{i}"] or 0.0) / n for i in range(dims)])
-    m = np.zeros((dims, dims))
-    for i in range(dims):
-        for j in range(i, dims):
-            m[i, j] = m[j, i] = (outer[f"m{i}_{j}"] or 0.0) / n
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dims + 1, dims + 1))  # the last place is a constant 1: sums and the count
+        for b in batches:
+            x = np.array(b.column(0).to_pylist(), np.float64).reshape(-1, dims)
+            x = np.hstack([x, np.ones((len(x), 1))])
+            total += x.T @ x
+        i, j = np.indices(total.shape)
+        yield pa.record_batch([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel(), pa.float64())], names=["i", "j", "s"])
+
+    known = df.filter(F.col(vector).isNotNull())
+    sums = known.select(F.col(vector).cast("array<double>")).mapInArrow(moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    m = np.zeros((dims + 1, dims + 1))
+    for r in sums.collect():  # (dims + 1) squared rows
+        m[r["i"], r["j"]] = r["s"]
+    n = max(m[dims, dims], 1.0)
+    mean, m = m[dims, :dims] / n, m[:dims, :dims] / n
     top = np.linalg.eigh(m - np.outer(mean, mean))[1][:, ::-1][:, :k]
     centred = F.zip_with(F.col(vector).cast("array<double>"), F.array(*[F.lit(float(x)) for x in mean]), lambda a, b: a - b)
     out = df.select(item, centred.alias("_c"))
@@ -126,7 +139,8 @@ def remove_top_components(df: DataFrame, item: str, vector: str, dims: int, k: i
         out = out.withColumn(f"_p{c}", dot(F.col("_c"), axis))
     cleaned = F.col("_c")
     for c in range(k):
-        cleaned = F.zip_with(cleaned, F.array(*[F.lit(float(x)) for x in top[:, c]]), lambda a, b, c=c: a - F.col(f"_p{c}") * b)
+        scaled = F.transform(F.array(*[F.lit(float(x)) for x in top[:, c]]), _times(F.col(f"_p{c}")))
+        cleaned = F.zip_with(cleaned, scaled, lambda a, b: a - b)
     return out.select(item, cleaned.alias(vector))
 
 
