@@ -13,15 +13,19 @@ from lexforge.functions.vectors import dot, labelled, mean_vector, square_distan
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """a, b, n: how many items have both labels (A17). Rows with a null label are left out."""
-    return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
+    return _cells(df, a, b).select(F.col("_a").alias(a), F.col("_b").alias(b), "n")
+
+
+def _cells(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).filter("_a IS NOT NULL AND _b IS NOT NULL").groupBy("_a", "_b").agg(F.count("*").alias("n"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (items, ari) from the contingency table (M2). ari is 1 where both partitions are trivial alike, null without items."""
-    table = contingency(df, a, b)
+    table = _cells(df, a, b)
     pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2.0
     cells = table.agg(F.sum("n").alias("items"), F.sum(pairs("n")).alias("s"))
-    sides = [table.groupBy(x).agg(F.sum("n").alias("n")).agg(F.sum(pairs("n")).alias(f"s{k}")) for k, x in enumerate((a, b))]
+    sides = [table.groupBy(x).agg(F.sum("n").alias("n")).agg(F.sum(pairs("n")).alias(f"s{k}")) for k, x in enumerate(("_a", "_b"))]
     both = cells.select("items", "s", sides[0].scalar().alias("sa"), sides[1].scalar().alias("sb"))
     total = F.col("items") * (F.col("items") - 1) / 2.0
     expected = F.when(total > 0, F.col("sa") * F.col("sb") / total).otherwise(0.0)
@@ -46,18 +50,17 @@ def _mutual(ns: list[int], rows: list[int], cols: list[int]) -> tuple[float, flo
 
 def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (items, mi, ami), normalised by the mean entropy (M2). Only the margins' counts come to the driver."""
-    table = contingency(df, a, b).cache()
-    left = [r["n"] for r in table.groupBy(a).agg(F.sum("n").alias("n")).select("n").collect()]
-    right = [r["n"] for r in table.groupBy(b).agg(F.sum("n").alias("n")).select("n").collect()]
+    table = _cells(df, a, b)
+    rows, cols = (table.groupBy(x).agg(F.sum("n").alias(f"{x}_n")) for x in ("_a", "_b"))
+    left, right = ([r[1] for r in side.collect()] for side in (rows, cols))
     items = sum(left)
     spark = df.sparkSession
     schema = "items bigint, mi double, ami double"
     if not items:
         return spark.createDataFrame([(0, None, None)], schema)
-    rows, cols = (table.groupBy(x).agg(F.sum("n").alias(f"_{x}_n")) for x in (a, b))
-    cell = table.join(rows, a).join(cols, b)
+    cell = table.join(rows, "_a").join(cols, "_b")
     p = F.col("n") / F.lit(items)
-    mi = cell.agg(F.sum(p * F.log(p * items * items / (F.col(f"_{a}_n") * F.col(f"_{b}_n"))))).first()[0]
+    mi = cell.agg(F.sum(p * F.log(p * items * items / (F.col("_a_n") * F.col("_b_n"))))).first()[0]
     _, emi, ha, hb = _mutual([], left, right)
     mean = (ha + hb) / 2
     ami = 1.0 if len(left) == len(right) == 1 or mean == emi else (mi - emi) / (mean - emi)

@@ -16,9 +16,12 @@ DELIMITERS = ";,/|\t\n\r\v\f；，｜／、"
 # Opening quote -> closing quote.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "＂": "＂"}
 BRACKETS = {"(": ")", "[": "]", "{": "}"}
+CLOSING = {*QUOTES.values(), *BRACKETS.values()}
+
+PASSES = 50
 
 _D, _S = re.escape(DELIMITERS), re.escape("".join({*QUOTES, *QUOTES.values(), *BRACKETS, *BRACKETS.values()}))
-_LEXEME = re.compile(rf'\\u[0-9a-fA-F]{{4}}|\\.|""|[{_D}]|[{_S}]|[^\\{_D}{_S}]+|\\', re.S)
+_LEXEME = re.compile(rf'\\u[0-9a-fA-F]{{4}}|\\.|[{_D}]|[{_S}]|[^\\{_D}{_S}]+|\\', re.S)
 _ESCAPED = {"n": "\n", "t": "\t", "r": "\r"}
 
 
@@ -36,17 +39,18 @@ def split_packed(text: str | None) -> list[str]:
     value; inside it, a doubled quote and a backslash stand for the character itself. [..] or {..} around the whole
     string only enclose it. An opening quote or bracket that is never closed is an ordinary character. Values are
     trimmed; empty ones are left out, and a bare null inside [..] or {..} is no value. Null, empty and blank strings
-    give no values.
+    give no values. A string that needs more than PASSES passes to find its unclosed marks takes all as ordinary.
     """
     if not text or text.isspace():
         return []
     lex = _LEXEME.findall(text)
     literal: set[int] = set()
-    while True:
+    for _ in range(PASSES):
         values, again = _pass(lex, literal)
-        if again is None:
+        if not again:
             return values
-        literal.add(again)
+        literal.update(again)
+    return _pass(lex, {i for i, x in enumerate(lex) if x in QUOTES or x in BRACKETS})[0]
 
 
 def _enclosed(lex: list[str]) -> tuple[int, int]:
@@ -73,16 +77,17 @@ def _enclosed(lex: list[str]) -> tuple[int, int]:
     return 0, len(lex)
 
 
-def _pass(lex: list[str], literal: set[int]) -> tuple[list[str], int | None]:
+def _pass(lex: list[str], literal: set[int]) -> tuple[list[str], list[int]]:
     first, last = _enclosed(lex) if not literal else (0, len(lex))
     if literal and 0 not in literal:
         first, last = _enclosed(lex)
     enclosed = (first, last) != (0, len(lex))
+    final = {x: i for i, x in enumerate(lex[:last]) if x in CLOSING}
     values: list[str] = []
     value: list[str] = []
     raw: list[str] = []
     stack: list[tuple[str, int]] = []
-    quote, quoted, opened = None, False, -1
+    quote, quoted, opened, skip = None, False, -1, False
 
     def end() -> None:
         text = "".join(value).strip()
@@ -93,10 +98,14 @@ def _pass(lex: list[str], literal: set[int]) -> tuple[list[str], int | None]:
         x = lex[i]
         if quote is not None:
             raw.append(x)
-            if x == quote:
-                quote = None
-            elif x == '""':
-                value.append('"' if quote == '"' else x)
+            if skip:
+                skip = False
+            elif x == quote:
+                if quote == '"' and i + 1 < last and lex[i + 1] == '"':
+                    value.append('"')
+                    skip = True
+                else:
+                    quote = None
             elif x[0] == "\\":
                 value.append(_unescape(x))
             else:
@@ -107,23 +116,23 @@ def _pass(lex: list[str], literal: set[int]) -> tuple[list[str], int | None]:
         elif quoted and not x.isspace():  # text after the closing quote: the marks belong to the value
             raw.append(x)
             value, quoted = [*raw], False
-        elif not quoted and i not in literal and (x in QUOTES or x == '""') and not "".join(value).strip():
+        elif not quoted and i not in literal and x in QUOTES and final.get(QUOTES[x], -1) > i and not "".join(value).strip():
             value, raw, quoted, opened = [], [x], True, i
-            quote = None if x == '""' else QUOTES[x]
+            quote = QUOTES[x]
         else:
             raw.append(x)
-            if x in BRACKETS and i not in literal:
+            if x in BRACKETS and i not in literal and final.get(BRACKETS[x], -1) > i:
                 stack.append((BRACKETS[x], i))
             elif stack and x == stack[-1][0]:
                 stack.pop()
             if not quoted:
                 value.append(_unescape(x) if x[0] == "\\" else x)
     if quote is not None:
-        return values, opened
+        return values, [opened]
     if stack:
-        return values, stack[0][1]
+        return values, [i for _, i in stack]
     end()
-    return values, None
+    return values, []
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
