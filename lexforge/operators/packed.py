@@ -87,7 +87,7 @@ def _pass(lex: list[str], literal: set[int]) -> tuple[list[str], list[int]]:
     value: list[str] = []
     raw: list[str] = []
     stack: list[tuple[str, int]] = []
-    quote, quoted, opened, skip = None, False, -1, False
+    quote, quoted, filled, opened, skip = None, False, False, -1, False
 
     def end() -> None:
         text = "".join(value).strip()
@@ -112,11 +112,11 @@ def _pass(lex: list[str], literal: set[int]) -> tuple[list[str], list[int]]:
                 value.append(x)
         elif not stack and x in DELIMITERS:
             end()
-            value, raw, quoted = [], [], False
+            value, raw, quoted, filled = [], [], False, False
         elif quoted and not x.isspace():  # text after the closing quote: the marks belong to the value
             raw.append(x)
-            value, quoted = [*raw], False
-        elif not quoted and i not in literal and x in QUOTES and final.get(QUOTES[x], -1) > i and not "".join(value).strip():
+            value, quoted, filled = [*raw], False, True
+        elif not quoted and i not in literal and x in QUOTES and not filled and final.get(QUOTES[x], -1) > i:
             value, raw, quoted, opened = [], [x], True, i
             quote = QUOTES[x]
         else:
@@ -126,6 +126,7 @@ def _pass(lex: list[str], literal: set[int]) -> tuple[list[str], list[int]]:
             elif stack and x == stack[-1][0]:
                 stack.pop()
             if not quoted:
+                filled = filled or not x.isspace()
                 value.append(_unescape(x) if x[0] == "\\" else x)
     if quote is not None:
         return values, [opened]
