@@ -33,11 +33,15 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def class_terms(text: Column, stops: tuple[str, ...] = ENGLISH_STOPS) -> Column:
-    """Lower-case words of two or more Latin letters without stop words, then those and their pairs."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z][a-z]+)\b"), F.lit(1)), lambda w: ~w.isin(*stops))
+def class_words(text: Column, stops: tuple[str, ...] = ENGLISH_STOPS) -> Column:
+    """Lower-case words of two or more Latin letters without stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z][a-z]+)\b"), F.lit(1)), lambda w: ~w.isin(*stops))
+
+
+def words_and_pairs(words: Column) -> Column:
+    """The words and then each two that follow each other; words should be a plain column, as it is used several times."""
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, F.filter(F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda p: p.isNotNull()))
+    return F.concat(words, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))))
 
 
 def class_tfidf(df: DataFrame, cluster: str, text: str, stops: tuple[str, ...] = ENGLISH_STOPS) -> DataFrame:
@@ -46,7 +50,8 @@ def class_tfidf(df: DataFrame, cluster: str, text: str, stops: tuple[str, ...] =
     Noise (-1) and null clusters are left out; the number of clusters counts those with a text, even of no term.
     """
     rows = df.filter(labelled(cluster))
-    tf = term_counts(rows.select(cluster, class_terms(F.coalesce(F.col(text), F.lit("")), stops).alias("t")), "t", [cluster])
+    words = rows.select(cluster, class_words(F.coalesce(F.col(text), F.lit("")), stops).alias("_w"))
+    tf = term_counts(words.select(cluster, words_and_pairs(F.col("_w")).alias("t")), "t", [cluster])
     totals = tf.groupBy(cluster).agg(F.sum("n").alias("total"))
     spread = tf.groupBy("term").agg(F.count("*").alias("df"))
     clusters = rows.agg(F.countDistinct(cluster)).scalar()
