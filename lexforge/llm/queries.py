@@ -21,8 +21,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _tokens(spark: SparkSession, d: str, *fields: str) -> DataFrame:
     """record_id, token_pos and the named fields of every token, one passage per id."""
-    rows = one_per_id(table(spark, d, "passages"), "passage_id", "tokens")
-    return rows.select(F.col("passage_id").alias("record_id"), F.posexplode("tokens").alias("_p", "t")).select("record_id", (F.col("_p") + 1).alias("token_pos"), *[F.col(f"t.{f}").alias(f) for f in fields])
+    rows = one_per_id(table(spark, d, "passages"), "passage_id", *[F.col(f"tokens.{f}").alias(f) for f in fields])
+    return rows.select(F.col("passage_id").alias("record_id"), F.posexplode(F.arrays_zip(*fields)).alias("_p", "t")).select("record_id", (F.col("_p") + 1).alias("token_pos"), *[F.col(f"t.{f}").alias(f) for f in fields])
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
@@ -34,12 +34,12 @@ def _values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    """word: the clean words of the three fields, of lemmas.greek_lemma and of the passages' text."""
-    passages, kept = table(spark, d, "passages"), []
-    kept.append(passages.select(F.explode(unify.words_of(F.col("text"))).alias("word")))
+    """word: the words of the three fields, of lemmas.greek_lemma and of the passages' text."""
+    passages = table(spark, d, "passages")
+    kept = [passages.select(F.explode(unify.words_of(F.col("text"))).alias("word"))]
     kept += [passages.select(F.explode(F.col(f"tokens.{f}")).alias("word")) for f in ("lemma", "form")]
     kept += [table(spark, d, t).select(F.col("greek_lemma").alias("word")) for t in ("lemmas", "lemma_frames")]
-    return _union([k.filter(F.col("word").isNotNull() & unify.is_clean(F.col("word"))) for k in kept])
+    return _union(kept)
 
 
 def _forms(spark: SparkSession, d: str, values: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexforge.session import cut
+
+BROADCAST_WORDS = 200_000
+
 # Base letters of other scripts that look like a Greek letter, and the Greek letter.
 LOOK_ALIKES = {
     "A": "Α", "B": "Β", "E": "Ε", "Z": "Ζ", "H": "Η", "I": "Ι", "K": "Κ", "M": "Μ", "N": "Ν", "O": "Ο", "P": "Ρ", "T": "Τ", "Y": "Υ", "X": "Χ",
@@ -127,7 +131,8 @@ def is_clean(value: Column) -> Column:
 def consistent_forms(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """value, form, mixed: the consistent form of every distinct value (column value) that the clean pattern doesn't accept.
 
-    vocabulary has column word: corpus words (clean ones). A word of one script is folded only. In a mixed-script
+    vocabulary has column word: corpus words; what isn't in the consistent form does no harm, as it equals no reading.
+    The readings of mixed words, counted first, are broadcast if few, so the corpus isn't shuffled for them. A word of one script is folded only. In a mixed-script
     word the look-alikes are replaced by letters of the dominant script if the result is in the vocabulary, else by
     those of the other script if that is. If neither is a known word the dominant script decides alone and mixed is
     true: the value is surely not in the consistent form, and the form given is the most likely one. A word with a
@@ -135,10 +140,12 @@ def consistent_forms(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
     characters has the form ''.
     """
     dirty = values.filter(F.col("value").isNotNull() & ~is_clean(F.col("value"))).select("value").distinct()
-    words = dirty.select("value", F.posexplode(_readings("value")).alias("pos", "w")).select("value", "pos", "w.*")
-    asked = words.filter(F.coalesce("first", "second").isNotNull())
-    readings = asked.select(F.explode(F.array_distinct(F.array_compact(F.array("first", "second")))).alias("word")).distinct()
-    known = vocabulary.select("word").join(readings, "word", "left_semi").distinct()
+    words = cut(dirty.select("value", F.posexplode(_readings("value")).alias("pos", "w")).select("value", "pos", "w.*"), "words")
+    readings = words.select(F.explode(F.array_compact(F.array("first", "second"))).alias("word")).distinct()
+    if readings.count() <= BROADCAST_WORDS:
+        known = vocabulary.select("word").join(F.broadcast(readings), "word", "left_semi").distinct()
+    else:
+        known = vocabulary.select("word").distinct().join(readings, "word", "left_semi")
     fixed = (
         words.join(known.select(F.col("word").alias("first"), F.lit(True).alias("k1")), "first", "left")
         .join(known.select(F.col("word").alias("second"), F.lit(True).alias("k2")), "second", "left")
