@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.session import cut
+
 _OUT = pa.schema([("field", pa.string()), ("ngram", pa.list_(pa.string())), ("n", pa.int64()), ("records", pa.int64())])
 
 
@@ -79,7 +81,7 @@ def suffix_counts(sequences: DataFrame, max_n: int = 3, slices: int = 256) -> Da
     cutoff = F.expr(f"slice(terms, _i + 1, {max_n})")
     suffixes = runs.select("field", "record_id", cutoff.alias("_s")).select("field", "record_id", F.expr("slice(_s, 1, CASE WHEN exists(_s, x -> x IS NULL) THEN int(array_position(transform(_s, x -> x IS NULL), true)) - 1 ELSE size(_s) END)").alias("suffix"))
     first = suffixes.select("field", F.col("suffix")[0].alias("first"), "record_id", "suffix")
-    by_first = first.groupBy("field", "first").agg(F.count("*").alias("_n"))
+    by_first = cut(runs.groupBy("field", F.col("_term").alias("first")).agg(F.count("*").alias("_n")), "terms")
     total = by_first.agg(F.sum("_n").alias("n")).scalar()
     hot = by_first.filter(F.col("_n") * slices > total).select("field", "first", F.ceil(F.col("_n") * slices / total).cast("int").alias("_salts"))
     routed = first.join(F.broadcast(hot), ["field", "first"], "left").withColumn("_salt", F.pmod(F.xxhash64("record_id"), F.coalesce("_salts", F.lit(1))).cast("int"))

@@ -147,11 +147,12 @@ MAX_N = 3
 
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
     """field, record_id, terms: the lemmas of a passage in the form of problem 1; the homer_count of a lemma as text."""
-    t = cut(_tokens(spark, d, "lemma"), "lemmas")
-    forms = _forms(spark, d, t.select(F.col("lemma").alias("value")))
-    named = t.join(forms.select(F.col("value").alias("lemma"), "form"), "lemma", "left").withColumn("term", F.nullif(F.coalesce("form", "lemma"), F.lit("")))
-    # null lemmas stay as nulls, which collect_list would drop, inside a struct
-    passages = named.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("token_pos", "term"))).alias("x")).select(F.lit("passages.tokens.lemma").alias("field"), "record_id", F.col("x.term").alias("terms"))
+    rows = one_per_id(table(spark, d, "passages"), "passage_id", F.col("tokens.lemma").alias("lemma"))
+    dirty = rows.select("passage_id", F.explode(F.array_distinct(F.filter("lemma", lambda x: x.isNotNull() & ~unify.is_clean(x)))).alias("value"))
+    # only passages with a lemma in another form get a map; the rest pass as they are
+    forms = dirty.join(_forms(spark, d, dirty), "value").groupBy("passage_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "form"))).alias("to"))
+    form = lambda x: F.nullif(F.coalesce(F.try_element_at(F.col("to"), x), x), F.lit(""))
+    passages = rows.join(forms, "passage_id", "left").select(F.lit("passages.tokens.lemma").alias("field"), F.col("passage_id").alias("record_id"), F.transform("lemma", form).alias("terms"))
     counts = one_per_id(table(spark, d, "lemmas"), "lemma_id", "homer_count")
     return passages.union(counts.select(F.lit("lemmas.homer_count"), "lemma_id", F.array(F.col("homer_count").cast("string"))))
 
