@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions.text import window_id
 from lexforge.functions.vectors import labelled
+from lexforge.session import cut
 
 # English function words left out of label terms.
 ENGLISH_STOPS = tuple("a about after all also an and any are as at be been but by can do for from had has have he her him his how i if in into is it its may me more most my no nor not of off on one only or other our out over she should so some such than that the their them then there these they this those through to too under until up upon very was we were what when where which while who whom whose why will with within without would you your".split())
@@ -24,8 +25,17 @@ def vocabulary(counts: DataFrame, stops: DataFrame | None = None, least: int = 5
     kept = counts.filter(F.col("n") >= least)
     if stops is not None:
         kept = kept.join(stops.select("term").distinct(), "term", "left_anti")
-    # the vocabulary that passes the floor is sorted by range; ranks need one total order
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "term")))
+    return ranked(kept, F.desc("n"), F.col("term"))
+
+
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """df with rank from 1 in a total order, by a sort over ranges: a row's rank is its place in its partition plus the
+    sizes of the partitions before, one number each. The sorted rows are written once, so that both passes see the same."""
+    placed = cut(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranked")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(sizes), "_part").withColumn("rank", F.col("_before") + place + 1).drop("_part", "_at", "_before")
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

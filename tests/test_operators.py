@@ -199,3 +199,15 @@ def test_sample_is_stable(spark):
     assert 1700 < a < 1900
     assert metrics.sample_share(df, "id", 0.9, 4).join(metrics.sample_share(df, "id", 0.9, 3), "id").count() < a
     assert df.select(F.max("id")).first()[0] == 1999
+
+
+def test_ranks_over_many_partitions(spark):
+    df = spark.createDataFrame([(f"t{i:03d}", i % 7) for i in range(300)], "term string, n int").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [(r["term"], r["n"], r["rank"]) for r in terms.vocabulary(df, least=1).orderBy("rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(((f"t{i:03d}", i % 7) for i in range(300) if i % 7 >= 1), key=lambda x: (-x[1], x[0]))
+    assert got == [(t, n, k + 1) for k, (t, n) in enumerate(want)]
+    assert terms.vocabulary(df.limit(0)).count() == 0
