@@ -331,7 +331,7 @@ def adjusted_mutual_info(spark: SparkSession, d: str) -> DataFrame:
     return metrics.adjusted_mutual_information(lemmas(spark, d), "pos", "lemma_group")
 
 
-@query(f"SELECT count(*) AS items, count_if(l = -1) AS noise, round(count_if(l = -1) / count(*), 6) AS noise_share, round(sum(CASE WHEN l = -1 THEN w ELSE 0 END) / sum(w), 6) AS weight_share FROM (SELECT CASE WHEN lsj_glosses IS NULL THEN -1 ELSE 0 END AS l, coalesce(homer_count, 0) AS w FROM {_LEM})")
+@query(f"SELECT count(*) AS items, CAST(count_if(l = -1) AS BIGINT) AS noise, round(count_if(l = -1) / count(*), 6) AS noise_share, round(sum(CASE WHEN l = -1 THEN w ELSE 0 END) / sum(w), 6) AS weight_share FROM (SELECT CASE WHEN lsj_glosses IS NULL THEN -1 ELSE 0 END AS l, coalesce(homer_count, 0) AS w FROM {_LEM})")
 def gloss_coverage(spark: SparkSession, d: str) -> DataFrame:
     t = lemmas(spark, d).select(F.when(F.col("lsj_glosses").isNull(), -1).otherwise(0).alias("label"), F.coalesce("homer_count", F.lit(0)).alias("w"))
     return metrics.coverage(t, "label", "w").withColumns({"noise_share": F.round("noise_share", 6), "weight_share": F.round("weight_share", 6)})
@@ -408,7 +408,7 @@ def form_synset_links(spark: SparkSession, d: str) -> DataFrame:
 _FLAG = "CASE WHEN lower(trim(frame_status)) LIKE 'existing%' THEN 'core' WHEN lower(trim(frame_status)) LIKE 'proposed%' THEN 'plausible' ELSE 'noise' END"
 
 
-@query(f"SELECT CASE WHEN grouping(lemma) = 1 THEN 'TOTAL' ELSE lemma END AS lemma, count_if(f = 'core') AS core, count_if(f = 'plausible') AS plausible, count_if(f = 'noise') AS noise, count(*) AS total FROM (SELECT greek_lemma AS lemma, {_FLAG} AS f FROM {_ASG}) GROUP BY ROLLUP (lemma)")
+@query(f"SELECT CASE WHEN grouping(lemma) = 1 THEN 'TOTAL' ELSE lemma END AS lemma, CAST(count_if(f = 'core') AS BIGINT) AS core, CAST(count_if(f = 'plausible') AS BIGINT) AS plausible, CAST(count_if(f = 'noise') AS BIGINT) AS noise, count(*) AS total FROM (SELECT greek_lemma AS lemma, {_FLAG} AS f FROM {_ASG}) GROUP BY ROLLUP (lemma)")
 def flag_summary(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.flag_summary(assignments(spark, d).select(F.col("greek_lemma").alias("lemma"), F.expr(_FLAG).alias("sense_flag")))
 
@@ -531,7 +531,7 @@ def merged_proposals(spark: SparkSession, d: str) -> DataFrame:
     return m.select("name", "proposals", F.size("lemmas").cast("bigint").alias("lemmas"))
 
 
-@query(f"SELECT assignment, count(*) AS rows, count(DISTINCT greek_lemma) AS lemmas, count(DISTINCT frame) AS frames, count_if(assignment = 'primary') AS primaries, count_if(assignment = 'primary' AND lower(trim(coalesce(frame_status, ''))) LIKE 'proposed%') AS proposed_primaries FROM {_ASG} GROUP BY assignment")
+@query(f"SELECT assignment, count(*) AS rows, count(DISTINCT greek_lemma) AS lemmas, count(DISTINCT frame) AS frames, CAST(count_if(assignment = 'primary') AS BIGINT) AS primaries, CAST(count_if(assignment = 'primary' AND lower(trim(coalesce(frame_status, ''))) LIKE 'proposed%') AS BIGINT) AS proposed_primaries FROM {_ASG} GROUP BY assignment")
 def run_statistics(spark: SparkSession, d: str) -> DataFrame:
     return compare.run_stats(assignments(spark, d), ["assignment"])
 
@@ -542,9 +542,9 @@ def frame_set_overlap(spark: SparkSession, d: str) -> DataFrame:
     return lf.select("row_id", F.round(tx.jaccard(F.split("A_frames", "; "), F.split("B_frames", "; ")), 6).alias("overlap"))
 
 
-@query(f"SELECT sentence_id, set_pos, kind, item_pos FROM {_SPAN} WHERE s IS NOT NULL AND e IS NOT NULL AND NOT coalesce(substr(text, s + 1, e - s + 1) = span_text, false)")
+@query(f"SELECT sentence_id, CAST(set_pos AS BIGINT) AS set_pos, kind, CAST(item_pos AS BIGINT) AS item_pos FROM {_SPAN} WHERE s IS NOT NULL AND e IS NOT NULL AND NOT coalesce(substr(text, s + 1, e - s + 1) = span_text, false)")
 def span_violations(spark: SparkSession, d: str) -> DataFrame:
-    return validate.span_violations(spans_of(spark, d)).select("sentence_id", F.col("set_pos"), "kind", "item_pos")
+    return validate.span_violations(spans_of(spark, d)).select("sentence_id", F.col("set_pos").cast("bigint").alias("set_pos"), "kind", F.col("item_pos").cast("bigint").alias("item_pos"))
 
 
 @query(f"WITH r AS (SELECT row_id, frame, list_sort(list_distinct(string_split(coalesce(frame_core_FEs, ''), ', '))) AS c FROM {_ASG} WHERE lower(trim(frame_status)) LIKE 'existing%'), k AS (SELECT frame, arg_min(list_sort(list_distinct(string_split(coalesce(frame_core_FEs, ''), ', '))), row_id) AS c FROM {_ASG} WHERE row_id % 2 = 0 GROUP BY 1) SELECT row_id, r.frame, CASE WHEN k.c IS NULL THEN 'unknown frame' ELSE 'core FEs differ' END AS problem FROM r LEFT JOIN k ON r.frame = k.frame WHERE k.c IS NULL OR k.c <> r.c")
