@@ -7,6 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.operators.skew import join_stats
 from lexforge.session import cut
 
 
@@ -29,7 +30,7 @@ def set_links(classes: DataFrame, threshold: Fraction = Fraction(3, 5)) -> DataF
     num, den = threshold.numerator, threshold.denominator
     terms = classes.filter(F.size("content") > 1).select("class_id", F.size("content").alias("size"), F.explode("content").alias("term"))
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    ranked = terms.join(df, "term").groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("t"))
+    ranked = join_stats(terms, df, "term", "df", "class_id").groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("t"))
     length = f"size - int(ceil({num}L * size / {den}D - 1e-9)) + 2"
     prefix = ranked.select("class_id", "size", F.expr(f"transform(slice(t, 1, {length}), x -> xxhash64(x.term))").alias("p"))
     pairs = F.expr("flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> xxhash64(x, y))))")

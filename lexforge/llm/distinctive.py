@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.operators.skew import join_stats
+
 
 def letter_runs(text: Column) -> Column:
     """The terms of a text: its runs of letters, in lower case. Null for null."""
@@ -19,15 +21,15 @@ def log_entropy(records: DataFrame) -> DataFrame:
     terms included; with N = 1 the entropy factor is 1. Records with null or empty terms have no rows.
 
     First aggregation: tf by record and term. Second: by term, gf = sum tf, df and sum tf ln tf, from which the
-    entropy follows, since sum p ln p = sum(tf ln tf)/gf - ln gf. Both combine before their shuffle; in the join
-    back, a hot term's rows are split by adaptive execution, the other side having one row per term.
+    entropy follows, since sum p ln p = sum(tf ln tf)/gf - ln gf. Both combine before their shuffle; the join back
+    spreads the rows of hot terms (see join_stats).
     """
     tf = records.select("record_id", F.explode("terms").alias("term")).groupBy("record_id", "term").agg(F.count("*").alias("tf"))
     by_term = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("gf"), F.sum(F.col("tf") * F.ln(F.col("tf").cast("double"))).alias("_s"))
     n = records.agg(F.count("*").cast("double").alias("n")).scalar()
     weight = F.when(n <= 1, F.lit(1.0)).otherwise(1 + (F.col("_s") / F.col("gf") - F.ln(F.col("gf").cast("double"))) / F.ln(F.greatest(n, F.lit(2.0))))
     stats = by_term.select("term", "df", "gf", weight.alias("entropy_weight"))
-    return tf.join(stats, "term").select("record_id", "term", "tf", "df", "gf", "entropy_weight", (F.log1p(F.col("tf").cast("double")) * F.col("entropy_weight")).alias("score"))
+    return join_stats(tf, stats, "term", "df", "record_id").select("record_id", "term", "tf", "df", "gf", "entropy_weight", (F.log1p(F.col("tf").cast("double")) * F.col("entropy_weight")).alias("score"))
 
 
 def standing_out(weights: DataFrame, least_tf: int = 2, df_from: int = 2, df_to: int = 8) -> DataFrame:
