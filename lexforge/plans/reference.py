@@ -447,7 +447,7 @@ def hypernym_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def resolved_synsets(spark: SparkSession, d: str) -> DataFrame:
-    key = lambda c: F.slice(F.filter(F.split(tx.plain_words(F.col(c)), " "), lambda w: F.length(w) > 7), 1, 2)
+    key = lambda c: F.filter(F.array_distinct(F.split(tx.plain_words(F.col(c)), " ")), lambda w: w != "")
     asked = lemmas(spark, d).filter("lsj_glosses <> ''").select(F.col("lemma_id").alias("id"), F.lit("n").alias("pos"), key("lsj_glosses").alias("words"), F.col("lsj_glosses").alias("gloss"))
     dictionary = one_per_id(table(spark, d, "lemma_frames"), "row_id").filter("gloss <> ''").select(F.col("row_id").alias("synset"), F.lit("n").alias("pos"), key("gloss").alias("lemmas"), F.col("gloss").alias("definition"))
     return lexicon.resolve_synsets(asked, dictionary).select("id", "synset", "id_match")
