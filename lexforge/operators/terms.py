@@ -43,6 +43,19 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def context_lemmas(tokens: DataFrame, passage: str, lemma: str, stops: tuple[str, ...], k: int = 12) -> DataFrame:
+    """lemma, context, n, rank: the k lemmas found most around each lemma, ties by name.
+
+    Every occurrence of a lemma adds the counts of its whole passage, so n sums the product of both counts over the
+    passages. Stop lemmas, empty ones and the lemma itself are left out. Pairs are formed inside a passage's row.
+    """
+    n = tokens.filter((F.col(lemma) != "") & ~F.col(lemma).isin(*stops)).groupBy(passage, F.col(lemma).alias("l")).agg(F.count("*").alias("c"))
+    p = n.groupBy(passage).agg(F.collect_list(F.struct("l", "c")).alias("_x"))
+    pairs = p.select("_x", F.explode("_x").alias("a")).select("a", F.explode("_x").alias("b")).filter("a.l <> b.l")
+    s = pairs.groupBy(F.col("a.l").alias("lemma"), F.col("b.l").alias("context")).agg(F.sum(F.col("a.c") * F.col("b.c")).alias("n"))
+    return top_k(s, ["lemma"], [F.desc("n"), F.col("context")], k)
+
+
 def class_words(text: Column, stops: tuple[str, ...] = ENGLISH_STOPS) -> Column:
     """Lower-case words of two or more Latin letters without stop words."""
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z][a-z]+)\b"), F.lit(1)), lambda w: ~w.isin(*stops))

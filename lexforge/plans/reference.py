@@ -494,6 +494,12 @@ def context_lemmas(spark: SparkSession, d: str) -> DataFrame:
     return terms.top_k(n, ["lemma"], [F.desc("n"), F.col("context")], 12).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query(f"WITH t AS {_TOK}, c AS (SELECT passage_id, lemma, count(*) AS k FROM t WHERE lemma <> '' AND lemma NOT IN ({_STOPS}) GROUP BY 1, 2), n AS (SELECT a.lemma, b.lemma AS context, CAST(sum(a.k * b.k) AS BIGINT) AS n FROM c a JOIN c b ON a.passage_id = b.passage_id WHERE a.lemma <> b.lemma GROUP BY 1, 2) SELECT lemma, context, n, CAST(row_number() OVER (PARTITION BY lemma ORDER BY n DESC, context) AS BIGINT) AS rank FROM n QUALIFY rank <= 12")
+def context_lemmas_all(spark: SparkSession, d: str) -> DataFrame:
+    """A11 for every lemma of the passages; context_lemmas is the part of one experiment, without repeats."""
+    return terms.context_lemmas(tokens(spark, d), "passage_id", "lemma", STOPS).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 # --- comparison and validation
 
 
