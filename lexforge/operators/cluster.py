@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.session import cut as cut_lineage
+
 LIMIT = 12_000  # rows of a dense distance matrix on one machine
 
 
@@ -89,6 +93,17 @@ def cut(z: np.ndarray, n: int, k: int | None = None, height: float | None = None
     return np.array([seen.setdefault(r, len(seen)) for r in roots], int)
 
 
+def row_silhouettes(u: np.ndarray, at: np.ndarray, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Of unit vectors in clusters `at`, given all clusters' counts and sums."""
+    dist = n[None] - u @ sums.T
+    rows = np.arange(len(u))
+    own = dist[rows, at] / np.maximum(n[at] - 1, 1)
+    other = dist / n[None]
+    other[rows, at] = np.inf
+    b = other.min(1)
+    return np.where(n[at] > 1, (b - own) / np.maximum(np.maximum(own, b), 1e-12), 0.0)
+
+
 def cosine_silhouette(v: np.ndarray, labels: np.ndarray) -> float:
     u = _unit(v)
     ks, at, n = np.unique(labels, return_inverse=True, return_counts=True)
@@ -96,14 +111,7 @@ def cosine_silhouette(v: np.ndarray, labels: np.ndarray) -> float:
         return float("nan")
     sums = np.zeros((len(ks), v.shape[1]))
     np.add.at(sums, at, u)
-    dist = n[None] - u @ sums.T
-    rows = np.arange(len(u))
-    own = dist[rows, at] / np.maximum(n[at] - 1, 1)
-    other = dist / n[None]
-    other[rows, at] = np.inf
-    b = other.min(1)
-    s = np.where(n[at] > 1, (b - own) / np.maximum(np.maximum(own, b), 1e-12), 0.0)
-    return float(s.mean())
+    return float(row_silhouettes(u, at, n, sums).mean())
 
 
 def consolidate(v: np.ndarray, labels: np.ndarray, least: int = 3, most: int = 6) -> np.ndarray:
@@ -134,42 +142,122 @@ def senses_of(v: np.ndarray, least: int = 10, distance: float = 0.55, min_silhou
     return one if s < min_silhouette else (labels, s)
 
 
+def merge_means(sums: np.ndarray, n: np.ndarray, height: float) -> np.ndarray:
+    """Labels of groups of unit vectors, given by their sums and counts, by average linkage up to a height.
+
+    The mean cosine distance of two groups follows from sums and counts, so no matrix of distances is held.
+    """
+    s, n = sums.astype(float).copy(), n.astype(float).copy()
+    at, parent, chain = np.arange(len(s)), np.arange(len(s)), []
+    while len(at) > 1 or chain:
+        if not chain:
+            chain = [0]
+        a = chain[-1]
+        d = 1 - (s @ s[a]) / (n * n[a])
+        d[a] = np.inf
+        b = int(np.argmin(d)) if len(d) > 1 else a
+        before = chain[-2] if len(chain) > 1 else None
+        if before is not None and d[before] <= d[b]:
+            b = before
+        if d[b] > height and before is None:  # a group far from all others stays so: distances of merged groups are means
+            s, n, at = (np.delete(x, a, 0) for x in (s, n, at))
+            chain = []
+        elif b != before:
+            chain.append(b)
+        elif d[b] > height:
+            gone = chain[-2:]
+            s, n, at = (np.delete(x, gone, 0) for x in (s, n, at))
+            chain = []
+        else:
+            keep, drop = min(a, b), max(a, b)
+            s[keep] += s[drop]
+            n[keep] += n[drop]
+            parent[at[drop]] = at[keep]
+            s, n, at = (np.delete(x, drop, 0) for x in (s, n, at))
+            chain = [c - (c > drop) for c in chain[:-2]]
+    for x in range(len(parent)):
+        while parent[x] != parent[parent[x]]:
+            parent[x] = parent[parent[x]]
+    return np.unique(parent, return_inverse=True)[1]
+
+
 def induce_senses(occurrences: DataFrame, lemma: str, row: str, vector: str, slice_rows: int = 4000) -> DataFrame:
     """lemma, row, sense_id, silhouette: average-linkage senses of each lemma on its own.
 
-    A lemma of more than slice_rows occurrences is dealt by hash into slices of that size, whose senses are then
-    joined: sense centroids of all slices are clustered by the same rule, and every row takes its centroid's sense.
-    So no task holds more than one slice's distance matrix, and no row is dropped. Null vectors are left out.
+    A lemma of more than slice_rows occurrences is dealt by hash into slices of that size. Average linkage up to the
+    height runs in each slice and then over the clusters of all slices, from their sums and counts; consolidation and
+    the silhouette test then apply to all rows of the lemma, so hot and other lemmas obey one rule and only the order
+    of merges differs. No task holds more than one slice's distance matrix or one lemma's cluster sums, and no row
+    is dropped. Null vectors are left out.
     """
     kinds = dict(occurrences.dtypes)
+    one, key = f"{lemma} {kinds[lemma]}, {row} {kinds[row]}", f"{lemma} {kinds[lemma]}"
     rows = occurrences.filter(F.col(vector).isNotNull() & F.col(lemma).isNotNull()).select(lemma, row, F.col(vector).cast("array<double>").alias("v"))
-    size = rows.groupBy(lemma).agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
-    dealt = rows.join(size, lemma).withColumn("slice", F.pmod(F.xxhash64(row), F.col("slices")).cast("int"))
+    hot = cut_lineage(rows.groupBy(lemma).agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices")).filter("slices > 1"), "hot")
 
-    def one_slice(p: pd.DataFrame) -> pd.DataFrame:
+    def whole(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(row)
-        v = np.stack(p["v"].to_numpy()).astype(float)
-        labels, s = senses_of(v)
-        u = _unit(v)
-        centre = {k: _unit(u[labels == k].mean(0)).tolist() for k in set(labels.tolist())}
-        return pd.DataFrame({lemma: p[lemma], row: p[row], "slices": p["slices"], "slice": p["slice"], "local": labels, "sil": s, "centre": [centre[k] for k in labels.tolist()]})
+        labels, s = senses_of(np.stack(p["v"].to_numpy()).astype(float))
+        return pd.DataFrame({lemma: p[lemma], row: p[row], "sense_id": labels, "silhouette": s})
 
-    local = dealt.groupBy(lemma, "slice").applyInPandas(one_slice, f"{lemma} {kinds[lemma]}, {row} {kinds[row]}, slices int, slice int, local int, sil double, centre array<double>")
-    parts = local.groupBy(lemma, "slices", "slice", "local").agg(F.count("*").alias("n"), F.first("centre").alias("centre"), F.first("sil").alias("sil"))
+    cold = rows.join(F.broadcast(hot), lemma, "left_anti").groupBy(lemma).applyInPandas(whole, f"{one}, sense_id int, silhouette double")
+    if not hot.head(1):
+        return cold.withColumn("silhouette", F.when(~F.isnan("silhouette"), F.col("silhouette")))
+    dealt = rows.join(F.broadcast(hot), lemma).withColumn("slice", F.pmod(F.xxhash64(row), F.col("slices")).cast("int"))
 
-    def join_slices(p: pd.DataFrame) -> pd.DataFrame:
+    def one_slice(p: pd.DataFrame) -> pd.DataFrame:
+        u = _unit(np.stack(p.sort_values(row)["v"].to_numpy()).astype(float))
+        labels = cut(linkage(u, "average"), len(u), height=0.55)
+        sums = np.zeros((labels.max() + 1, u.shape[1]))
+        np.add.at(sums, labels, u)
+        return pd.DataFrame({lemma: p[lemma].iloc[0], "slice": p["slice"].iloc[0], "local": np.arange(len(sums)), "n": np.bincount(labels), "sum": sums.tolist()})
+
+    def centres_of(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["slice", "local"])
-        if p["slices"].iloc[0] == 1:
-            sense = p["local"].to_numpy()
-        else:
-            c = np.stack(p["centre"].to_numpy()).astype(float)
-            joint = cut(linkage(c, "average"), len(c), height=0.55)
-            weight = np.bincount(joint, weights=p["n"])
-            sense = np.argsort(np.argsort(-weight, kind="stable"), kind="stable")[joint]
-        return pd.DataFrame({lemma: p[lemma], "slice": p["slice"], "local": p["local"], "sense_id": sense})
-
-    sense = parts.groupBy(lemma).applyInPandas(join_slices, f"{lemma} {kinds[lemma]}, slice int, local int, sense_id int")
-    return local.join(sense, [lemma, "slice", "local"]).select(lemma, row, "sense_id", F.when(~F.isnan("sil"), F.col("sil")).alias("silhouette"))
+        s, n = np.stack(p["sum"].to_numpy()).astype(float), p["n"].to_numpy()
+        joint = merge_means(s, n, 0.55)
+        size = np.bincount(joint, weights=n)
+        kept = [k for k in np.lexsort((np.arange(len(size)), -size)) if size[k] >= 3][:6]
+        centres = [_unit(s[joint == k].sum(0)).tolist() for k in kept] if len(kept) > 1 else [_unit(s.sum(0)).tolist()]
+        return pd.DataFrame({lemma: [p[lemma].iloc[0]], "centres": [centres]})
+
+    parts = dealt.groupBy(lemma, "slice").applyInPandas(one_slice, f"{key}, slice int, local int, n bigint, sum array<double>")
+    # at most six centres for each hot lemma, and there is at most one such lemma to slice_rows rows
+    centres = cut_lineage(parts.groupBy(lemma).applyInPandas(centres_of, f"{key}, centres array<array<double>>"), "centres")
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in frames:
+            for _, g in p.groupby(lemma):
+                near = (_unit(np.stack(g["v"].to_numpy())) @ np.stack(g["centres"].iloc[0]).T).argmax(1)
+                yield pd.DataFrame({lemma: g[lemma], row: g[row], "v": g["v"], "near": near})
+
+    near = rows.join(F.broadcast(centres), lemma).mapInPandas(nearest, f"{one}, v array<double>, near int")
+
+    def partial_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in frames:
+            for (k, c), g in p.groupby([lemma, "near"]):
+                yield pd.DataFrame({lemma: [k], "near": [c], "n": [len(g)], "sum": [_unit(np.stack(g["v"].to_numpy())).sum(0).tolist()]})
+
+    def total(p: pd.DataFrame) -> pd.DataFrame:
+        g = [(c, int(q["n"].sum()), np.stack(q["sum"].to_numpy()).sum(0).tolist()) for c, q in p.groupby("near")]
+        g.sort(key=lambda x: (-x[1], x[0]))  # senses are numbered by size
+        return pd.DataFrame({lemma: [p[lemma].iloc[0]], "near_of": [[x[0] for x in g]], "ns": [[x[1] for x in g]], "sums": [[x[2] for x in g]]})
+
+    sums = near.mapInPandas(partial_sums, f"{key}, near int, n bigint, sum array<double>")
+    senses = cut_lineage(sums.groupBy(lemma).applyInPandas(total, f"{key}, near_of array<int>, ns array<bigint>, sums array<array<double>>"), "senses")
+
+    def silhouettes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in frames:
+            for k, g in p.groupby(lemma):
+                n, s, names = np.array(g["ns"].iloc[0]), np.stack(g["sums"].iloc[0]), list(g["near_of"].iloc[0])
+                values = row_silhouettes(_unit(np.stack(g["v"].to_numpy())), np.array([names.index(c) for c in g["near"]]), n, s)
+                yield pd.DataFrame({lemma: [k], "s": [values.sum()], "n": [len(g)]})
+
+    score = near.join(F.broadcast(senses.filter(F.size("ns") > 1)), lemma).mapInPandas(silhouettes, f"{key}, s double, n bigint").groupBy(lemma).agg((F.sum("s") / F.sum("n")).alias("sil")).filter("sil >= 0.05")
+    verdict = senses.select(lemma, "near_of").join(F.broadcast(score), lemma, "left")
+    split = F.when(F.col("sil").isNull(), 0).otherwise(F.array_position("near_of", F.col("near")) - 1).cast("int")
+    found = near.drop("v").join(F.broadcast(verdict), lemma).select(lemma, row, split.alias("sense_id"), F.col("sil").alias("silhouette"))
+    return cold.withColumn("silhouette", F.when(~F.isnan("silhouette"), F.col("silhouette"))).union(found)
 
 
 def _gather(df: DataFrame, item: str, vector: str) -> tuple[list, np.ndarray]:
