@@ -38,6 +38,27 @@ def coherence(df: DataFrame, cluster: str, item: str, vector: str, dims: int) ->
     return rank_by_centroid(df, cluster, item, vector, dims).groupBy(cluster).agg(F.count("*").alias("n"), F.avg("similarity").alias("coherence"))
 
 
+def best_examples(df: DataFrame, cluster: str, item: str, vector: str, dims: int, k: int = 5) -> DataFrame:
+    """cluster, examples: the k items nearest to the centroid, joined by "; " in that order."""
+    near = rank_by_centroid(df, cluster, item, vector, dims).filter(F.col("rank") <= k)
+    order = F.array_sort(F.collect_list(F.struct("rank", F.col(item).cast("string").alias("i"))))
+    return near.groupBy(cluster).agg(F.array_join(F.transform(order, lambda x: x["i"]), "; ").alias("examples"))
+
+
+def both_ends(coherent: DataFrame, cluster: str, top: int = 12, bottom: int = 8, least: int = 3) -> DataFrame:
+    """end, place, cluster, n, coherence: the most and the least coherent clusters of `least` members or more.
+
+    coherent: cluster, n, coherence. With fewer than top + bottom clusters some are at both ends, as in two listings.
+    """
+    rows = coherent.filter(F.col("n") >= least).select(cluster, "n", "coherence")
+
+    def end(name: str, order: Column, k: int) -> DataFrame:
+        first = rows.orderBy(order, cluster).limit(k)
+        return first.select(F.lit(name).alias("end"), F.row_number().over(Window.orderBy(order, cluster)).alias("place"), cluster, "n", "coherence")
+
+    return end("top", F.desc("coherence"), top).union(end("bottom", F.asc("coherence"), bottom))
+
+
 def _topk(queries: DataFrame, corpus: DataFrame, item: str, vector: str, k: int, exclude_self: bool) -> DataFrame:
     """query, item, similarity: the k most similar rows of corpus for each row of queries, partly reduced per batch.
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as tx
 from lexforge.functions.vectors import norm
-from lexforge.operators import classify, cluster, compare, lexicon, metrics, spans, terms, tree, validate, vectors
+from lexforge.operators import classify, cluster, compare, lexicon, metrics, spans, stability, terms, tree, validate, vectors
 from lexforge.operators.records import one_per_id
-from lexforge.session import table
+from lexforge.session import cut, table
 from lexforge.sources import sinks
 
 DIMS = 64
@@ -91,6 +91,17 @@ def cluster_coherence(spark: SparkSession, d: str) -> DataFrame:
     return vectors.coherence(emb(spark, d), "label", "vec_id", "embedding", DIMS).withColumn("coherence", F.round("coherence", 6))
 
 
+@query(f"WITH r AS (SELECT e.label, vec_id, row_number() OVER (PARTITION BY e.label ORDER BY list_cosine_similarity(v, c) DESC, vec_id) AS r FROM {_E} e JOIN {_CEN} k ON e.label = k.label WHERE e.label <> -1) SELECT label, string_agg(CAST(vec_id AS VARCHAR), '; ' ORDER BY r) AS examples FROM r WHERE r <= 5 GROUP BY label")
+def best_examples(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.best_examples(emb(spark, d), "label", "vec_id", "embedding", DIMS)
+
+
+@query(f"WITH c AS (SELECT e.label, count(*) AS n, avg(list_cosine_similarity(v, c)) AS coherence FROM {_E} e JOIN {_CEN} k ON e.label = k.label WHERE e.label <> -1 GROUP BY e.label HAVING count(*) >= 3), r AS (SELECT *, row_number() OVER (ORDER BY coherence DESC, label) AS t, row_number() OVER (ORDER BY coherence, label) AS b FROM c) SELECT 'top' AS \"end\", CAST(t AS INT) AS place, label, n, round(coherence, 6) AS coherence FROM r WHERE t <= 12 UNION ALL SELECT 'bottom', CAST(b AS INT), label, n, round(coherence, 6) FROM r WHERE b <= 8")
+def coherence_ends(spark: SparkSession, d: str) -> DataFrame:
+    c = vectors.coherence(emb(spark, d), "label", "vec_id", "embedding", DIMS)
+    return vectors.both_ends(c, "label").withColumn("coherence", F.round("coherence", 6))
+
+
 @query(f"SELECT a.vec_id AS query, b.vec_id AS item, round(list_cosine_similarity(a.v, b.v), 6) AS similarity, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS BIGINT) AS rank FROM {_E} a JOIN {_E} b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 QUALIFY rank <= 12")
 def nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
     e = emb(spark, d)
@@ -387,6 +398,17 @@ def graph_communities(spark: SparkSession, d: str) -> DataFrame:
     return cluster.communities(vectors.knn_edges(emb(spark, d), "vec_id", "embedding", 15), 1.0)
 
 
+@query()
+def seed_stability(spark: SparkSession, d: str) -> DataFrame:
+    edges = cut(vectors.knn_edges(emb(spark, d), "vec_id", "embedding", 15), "edges")
+    return stability.seed_stability(lambda seed: cluster.communities(edges, 1.0, seed))
+
+
+@query()
+def subsample_stability(spark: SparkSession, d: str) -> DataFrame:
+    return stability.subsample_stability(emb(spark, d), "vec_id", "embedding", 10)
+
+
 # --- lexicon
 
 
