@@ -112,14 +112,20 @@ def medoids(classes: DataFrame, clusters: DataFrame, links: DataFrame) -> DataFr
 
 
 def member_pairs(records: DataFrame, classes: DataFrame, clusters: DataFrame, links: DataFrame, copies_in_full: int = 1000) -> DataFrame:
-    """id_a, id_b (id_a < id_b): the pairs of records of one cluster that are linked or equal.
+    """id_a, id_b (id_a < id_b): the pairs of records of one cluster that are linked or equal, as by linked_pairs."""
+    side = clusters.select("class_id", "pivot")
+    kept = links.join(side.toDF("a", "pa"), "a").join(side.toDF("b", "pb"), "b").filter("pa = pb")
+    return linked_pairs(records, classes, kept, copies_in_full)
+
+
+def linked_pairs(records: DataFrame, classes: DataFrame, links: DataFrame, copies_in_full: int = 1000) -> DataFrame:
+    """id_a, id_b (id_a < id_b): all pairs of records that are linked or equal.
 
     records has record_id and content. A class of more than copies_in_full equal records is given by pairs of its
     least id with each other member, and stands for its members in pairs with other classes; no pair of different
     contents is lost, as equal records have the same partners.
     """
-    side = clusters.select("class_id", "pivot")
-    kept = links.join(side.toDF("a", "pa"), "a").join(side.toDF("b", "pb"), "b").filter("pa = pb").select("a", "b")
+    kept = links.select("a", "b")
     many = classes.filter("members > 1").select("content", "class_id", "members")
     member = records.join(many, "content").select("class_id", "members", "record_id")
     spread = member.filter(F.col("members") <= copies_in_full).select("class_id", "record_id")

@@ -104,18 +104,22 @@ def _topic_vectors(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("_s", total).filter("_s > 0").select(F.col("book_id").cast("bigint").alias("record_id"), F.array(*[F.col(c) / F.col("_s") for c in cols]).alias("content"))
 
 
-def _clustered(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame, DataFrame, DataFrame]]:
-    """By table: records, classes, links, clusters."""
+def _linked(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame, DataFrame]]:
+    """By table: records, classes, links."""
     out = {}
     for t, records, link in (("lemmas", _gloss_sets(spark, d), clusters.set_links), ("topic_prevalence_by_book", _topic_vectors(spark, d), clusters.vector_links)):
         classes = cut(clusters.copy_classes(records), "classes")
-        links = cut(link(classes), "pairs")
-        out[t] = records, classes, links, clusters.pivot_clusters(classes, links)
+        out[t] = records, classes, cut(link(classes), "pairs")
     return out
 
 
+def _clustered(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame, DataFrame, DataFrame]]:
+    """By table: records, classes, links, clusters."""
+    return {t: (r, c, l, clusters.pivot_clusters(c, l)) for t, (r, c, l) in _linked(spark, d).items()}
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _union([clusters.member_pairs(r, c, g, l).select(F.lit(t).alias("record_table"), "id_a", "id_b") for t, (r, c, l, g) in _clustered(spark, d).items()])
+    return _union([clusters.linked_pairs(r, c, l).select(F.lit(t).alias("record_table"), "id_a", "id_b") for t, (r, c, l) in _linked(spark, d).items()])
 
 
 def p4_members(spark: SparkSession, d: str) -> DataFrame:
