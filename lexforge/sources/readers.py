@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,12 +13,13 @@ from pyspark.sql import functions as F
 from lexforge.functions.text import book_line, decode_postag, english_spans, first_words, nfc, tokenize_line
 
 TREEBANK_SCHEMA = "_id string, _document_id string, _subdoc string, word array<struct<_id:string,_form:string,_lemma:string,_postag:string,_head:string,_relation:string,_cite:string,_VALUE:string>>"
+# The columns of the token table.
 TOKEN_COLUMNS = ["work", "sentence_id", "subdoc", "book", "line", "word_id", "form", "lemma", "pos", "person", "number", "tense", "mood", "voice", "gender", "case", "degree", "head", "relation", "postag"]
 
 
 def treebank_words(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per <word> of every <sentence>, in any of the files, all attributes as text."""
-    s = spark.read.format("xml").option("rowTag", "sentence").schema(TREEBANK_SCHEMA).load(",".join(paths))
+    s = spark.read.format("xml").option("rowTag", "sentence").schema(TREEBANK_SCHEMA).load(paths)
     doc = F.coalesce("_document_id", F.lit(""))
     work = F.when(doc.contains("tlg0012.tlg001"), "Iliad").when(doc.contains("tlg0012.tlg002"), "Odyssey").otherwise("?")
     return s.select(work.alias("work"), F.col("_id").alias("sentence_id"), F.col("_subdoc").alias("subdoc"), F.posexplode("word").alias("position", "w")).select("work", "sentence_id", "subdoc", "position", *[F.col(f"w._{c}").alias(c) for c in ("id", "form", "lemma", "postag", "head", "relation", "cite")])
@@ -44,14 +47,25 @@ def alignment_rows(spark: SparkSession, path: str, marker: str = "Lemmas", pick:
     """The named columns and the lemma column of an alignment CSV whose header isn't its first line.
 
     The header is the first row with a cell equal to marker. pick 'last' takes the last non-empty of the columns of
-    that name, 'first' the first one. Only the header row comes to the driver. A file without header gives an error.
+    that name, 'first' the first one. A first pass finds that row and how many cells it has, so no named column is
+    dropped however many there are; cells of other rows beyond it have no name. Only rows up to the header that hold
+    the marker come to the driver. A file without header gives an error.
     """
-    width = 64  # columns beyond the file's own are null
-    raw = spark.read.csv(path, header=False, multiLine=True, schema=", ".join(f"c{i} string" for i in range(width)), mode="PERMISSIVE")
+    schema = "c0 string, c1 string, _corrupt_record string"  # a record of any other number of cells is kept as text
+    texts = spark.read.csv(path, header=False, multiLine=True, escape='"', schema=schema, mode="PERMISSIVE")
+    text = F.coalesce("_corrupt_record", F.concat_ws(",", "c0", "c1"))
+    width = 0
+    for r in texts.select("c0", "c1", "_corrupt_record").filter(text.contains(marker)).toLocalIterator():
+        record = r["_corrupt_record"] or f"{r['c0'] or ''},{r['c1'] or ''}"
+        cells = [c.lstrip("\ufeff").strip() for c in next(csv.reader([record] if "\n" not in record else io.StringIO(record, newline="")))]
+        if marker in cells:
+            width = len(cells)
+            break
+    if not width:
+        raise ValueError(f"no row of {path} has a cell {marker}")
+    raw = spark.read.csv(path, header=False, multiLine=True, escape='"', schema=", ".join(f"c{i} string" for i in range(width)), mode="PERMISSIVE")
     cells = raw.select(F.array(*[F.trim(F.regexp_replace(c, "^\\x{FEFF}", "")) for c in raw.columns]).alias("r"), F.monotonically_increasing_id().alias("i"))
     head = cells.filter(F.array_contains("r", marker)).orderBy("i").first()
-    if head is None:
-        raise ValueError(f"no row of {path} has a cell {marker}")
     names, at = head["r"], head["i"]
     places = [i for i, n in enumerate(names) if n == marker]
     body = cells.filter(F.col("i") > at)
@@ -123,9 +137,11 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
 def cluster_members(lines: DataFrame) -> DataFrame:
     """cluster_id, lemma, freq, gloss of a cluster listing: 'cluster N ' lines, then indented 'lemma (freq): gloss' (S15).
 
-    lines: value and line_no (the order in the file). One listing is one small file, so its lines form one window.
+    lines: value and line_no (the order in the file), and file where there are several; the lines of one file, which
+    is a small text report, form one window.
     """
     id_ = F.regexp_extract("value", r"^cluster (-?\d+) ", 1).try_cast("int")
-    at = lines.withColumn("cluster_id", F.last(id_, ignorenulls=True).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+    file = [F.col("file")] if "file" in lines.columns else [F.lit(0)]
+    at = lines.withColumn("cluster_id", F.last(id_, ignorenulls=True).over(Window.partitionBy(*file).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
     pattern = r"^\s+(\S+) \((\d+)\): (.*)"
     return at.filter(F.col("value").rlike(pattern)).select("cluster_id", F.regexp_extract("value", pattern, 1).alias("lemma"), F.regexp_extract("value", pattern, 2).cast("int").alias("freq"), F.regexp_extract("value", pattern, 3).alias("gloss"))

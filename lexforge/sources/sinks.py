@@ -68,7 +68,8 @@ def passages_json(sentences: DataFrame) -> DataFrame:
 def annotation_xml(sentences: DataFrame, corpus: str) -> DataFrame:
     """sentence_id, xml: a full-text annotation document per sentence with Target and FE layers (K8).
 
-    Elements with bounds become labels; those with an itype only are null instantiations. Null sets and elements are skipped.
+    Elements with bounds become labels; those with an itype only are null instantiations. Null sets and elements are
+    skipped, and so is the label of a target without both bounds.
     """
 
     def one(r: dict) -> str:
@@ -78,7 +79,7 @@ def annotation_xml(sentences: DataFrame, corpus: str) -> DataFrame:
                 continue
             out.append(f"<annotationSet ID={quoteattr(str(a['id']))} frameName={quoteattr(a['frameName'] or '')} luName={quoteattr(a['luName'] or '')}>")
             t = a["target"]
-            if t is not None and t["start"] is not None:
+            if t is not None and t["start"] is not None and t["end"] is not None:
                 out.append(f"<layer name=\"Target\"><label name=\"Target\" start=\"{int(t['start'])}\" end=\"{int(t['end'])}\"/></layer>")
             out.append('<layer name="FE">')
             for f in a["FEs"] if a["FEs"] is not None else []:

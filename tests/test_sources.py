@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,6 +31,23 @@ def test_treebank(spark, tmp_path):
     assert rows(s.select("work", "tokens")) == [("Iliad", ["μῆνις", "ἀείδω"]), ("Odyssey", ["ἀνήρ"])]
 
 
+def test_treebank_of_two_files(spark, tmp_path):
+    for n in "ab":
+        (tmp_path / f"{n},x.xml").write_text(XML.replace("μῆνις", f"μῆνις{n}"), encoding="utf-8")
+    words = readers.treebank_words(spark, [str(tmp_path / f"{n},x.xml") for n in "ab"])
+    assert words.count() == 8
+    assert {r["lemma"] for r in words.collect()} >= {"μῆνιςa", "μῆνιςb"}
+
+
+def test_alignment_of_many_columns(spark, tmp_path):
+    wide = ",".join(f"h{i}" for i in range(100))
+    (tmp_path / "w.csv").write_text(f'about Lemmas,here\nno Lemmas\nCitation,Greek text,{wide},"Lemmas"\n1.1,"a\nb",{"," * 99},last,over\n', encoding="utf-8")
+    assert rows(readers.alignment_rows(spark, str(tmp_path / "w.csv"))) == [("1.1", "a\nb", "last")]
+    (tmp_path / "n.csv").write_text("Citation,Greek text\n1,Lemmas of\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="no row"):
+        readers.alignment_rows(spark, str(tmp_path / "n.csv"))
+
+
 def test_alignment(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿http://junk\nCitation,Greek text,English,Lemmas,x,Lemmas\n1.1,"μῆνιν, ἄειδε",wrath,μῆνις ἀείδω,,later one\n1.2,θεά,goddess,θεά,,\n1.3,ἓν δύο,x,εἷς,,\n', encoding="utf-8")
     last = readers.alignment_rows(spark, str(tmp_path / "a.csv"))
@@ -71,6 +89,8 @@ def test_xml_and_tables(spark, tmp_path):
     assert "a &lt; b" in xml
     assert '<label name="B" itype="DNI"/>' in xml
     assert '<label name="A" start="0" end="1"/>' in xml
+    half = spark.sql("SELECT 1L AS sentence_id, 'a' AS text, array(named_struct('id', 1, 'luName', 'l', 'frameName', 'F', 'target', named_struct('start', 0, 'end', cast(null AS int)), 'FEs', array(named_struct('name', 'A', 'start', 1, 'end', cast(null AS int), 'itype', 'INI')))) AS annotationSets")
+    assert sinks.annotation_xml(half, "c").first()["xml"].endswith('<layer name="FE"><label name="A" itype="INI"/></layer></annotationSet></sentence>')
     p = pd.DataFrame({"a": ["x|y"], "b": [1]})
     assert sinks.markdown_table(p).endswith("| x\\|y | 1 |")
     assert "<table" in sinks.html_table(p, "t")
