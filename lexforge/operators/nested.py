@@ -6,8 +6,9 @@ import json
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NODE_SCHEMA = "record_table string, doc_id bigint, pre int, post int, depth int, kind string, pos int, fields map<string,string>"
 _ARROW = pa.schema([("record_table", pa.string()), ("doc_id", pa.int64()), ("pre", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("pos", pa.int32()), ("fields", pa.map_(pa.string(), pa.string()))])
@@ -102,22 +103,49 @@ def label_nodes(docs: DataFrame, record_table: str, root_kind: str, *, container
     return docs.select(F.col("doc_id").cast("bigint"), F.col("payload").cast("string")).mapInArrow(run, NODE_SCHEMA)
 
 
-def link_by_interval(nodes: DataFrame, ancestors: Mapping[str, Mapping[str, Column]]) -> DataFrame:
-    """nodes plus, per ancestor kind, the named columns of the node of that kind that contains it (null if none).
+def link_by_interval(nodes: DataFrame, ancestors: Mapping[str, Mapping[str, Column]], in_order: bool = False) -> DataFrame:
+    """nodes plus, per ancestor kind, the named columns of the nearest node of that kind that contains it (null if none).
 
-    In pre-order the only candidate is the latest node of that kind that began before; containment of the intervals
-    confirms it. One shuffle by record, no join. A kind that contains itself links to its latest begun node only.
+    A walk over a record's nodes in pre-order keeps those still open on a stack, which the labels tell: a node lies in
+    another exactly if it began later and ends before it. So kinds may contain themselves at any depth, and nodes left
+    out before don't matter. in_order: nodes come as label_nodes gives them, a record's nodes together in pre-order
+    (filtered perhaps); then nothing is shuffled. Otherwise they are brought into that order by one shuffle by record.
     """
-    by = Window.partitionBy("record_table", "doc_id").orderBy("pre")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    out = nodes
-    for n, (kind, cols) in enumerate(ancestors.items()):
-        out = out.withColumn(f"_a{n}", F.last(F.when(F.col("kind") == kind, F.struct("post", *[c.alias(name) for name, c in cols.items()])), ignorenulls=True).over(before))
-        for name in cols:
-            out = out.withColumn(name, F.when(F.col("post") < F.col(f"_a{n}.post"), F.col(f"_a{n}.{name}")))
-    return out.drop(*[f"_a{n}" for n in range(len(ancestors))])
-
-
-def node_table(nodes: DataFrame, kind: str, columns: Mapping[str, str]) -> DataFrame:
-    """The flat table of one kind: its labels and place, and the named fields cast to the DDL types given (null where they don't fit)."""
-    return nodes.filter(F.col("kind") == kind).select("record_table", "doc_id", "pre", "post", "depth", "pos", *[F.col("fields").getItem(c).try_cast(t).alias(c) for c, t in columns.items()])
+    given = {name: f"_l{n}_{m}" for n, cols in enumerate(ancestors.values()) for m, name in enumerate(cols)}
+    kept = nodes.withColumns({given[name]: F.when(F.col("kind") == kind, c) for kind, cols in ancestors.items() for name, c in cols.items()})
+    if not in_order:
+        kept = kept.repartition("record_table", "doc_id").sortWithinPartitions("record_table", "doc_id", "pre")
+    kinds = list(ancestors)
+    names = [list(cols) for cols in ancestors.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        stacks: list[list[tuple]] = []
+        for b in batches:
+            key = list(zip(*[b.column(c).to_pylist() for c in ("record_table", "doc_id")], strict=True))
+            pre, post, kind = (b.column(c).to_pylist() for c in ("pre", "post", "kind"))
+            values = [list(zip(*[b.column(given[name]).to_pylist() for name in cols], strict=True)) for cols in names]
+            found: list[list] = [[] for _ in kinds]
+            for i, k in enumerate(key):
+                if k != at:
+                    at, stacks = k, [[] for _ in kinds]
+                for n, stack in enumerate(stacks):
+                    while stack and stack[-1][0] < pre[i]:
+                        stack.pop()
+                    found[n].append(stack[-1][1] if stack else None)
+                    if kind[i] == kinds[n]:
+                        stack.append((post[i], values[n][i]))
+            plain = [c for c in b.schema.names if c not in given.values()]
+            cols = {c: b.column(c) for c in plain}
+            for n, at_kind in enumerate(names):
+                for m, name in enumerate(at_kind):
+                    cols[name] = pa.array([None if f is None else f[m] for f in found[n]], b.column(given[name]).type)
+            yield pa.record_batch(list(cols.values()), names=list(cols))
+
+    schema = T.StructType([*nodes.schema.fields, *[T.StructField(name, kept.schema[given[name]].dataType) for name in given]])
+    return kept.mapInArrow(run, schema)
+
+
+def node_table(nodes: DataFrame, kind: str, columns: Mapping[str, str], *links: str) -> DataFrame:
+    """The flat table of one kind: its labels and place, the named fields cast to the DDL types given (null where they don't fit), and link columns."""
+    return nodes.filter(F.col("kind") == kind).select("record_table", "doc_id", "pre", "post", "depth", "pos", *[F.col("fields").getItem(c).try_cast(t).alias(c) for c, t in columns.items()], *links)

@@ -44,8 +44,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     record = {"record_id": F.col("fields").getItem("id").try_cast("bigint")}
     item = {"FEs": "name", "target": "start", "lexical_units": "lemma"}
     kept = sentence_nodes(spark, d).filter(F.col("kind").isin("sentence", "annotationSets", "target", "FEs"))
-    parts = link_by_interval(kept, {"sentence": record, "annotationSets": {"set_pos": F.col("pos")}}).filter(F.col("kind").isin("target", "FEs") & F.col("set_pos").isNotNull())
-    units = link_by_interval(frame_nodes(spark, d).filter(F.col("kind").isin("frame", "lexical_units")), {"frame": record}).filter("kind = 'lexical_units'").withColumn("set_pos", F.lit(0))
+    parts = link_by_interval(kept, {"sentence": record, "annotationSets": {"set_pos": F.col("pos")}}, in_order=True).filter(F.col("kind").isin("target", "FEs") & F.col("set_pos").isNotNull())
+    units = link_by_interval(frame_nodes(spark, d).filter(F.col("kind").isin("frame", "lexical_units")), {"frame": record}, in_order=True).filter("kind = 'lexical_units'").withColumn("set_pos", F.lit(0))
     value = F.coalesce(*[F.when(F.col("kind") == k, F.col("fields").getItem(v)) for k, v in item.items()])
     return (
         parts.union(units)
@@ -57,9 +57,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_annotation_sets(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of annotation sets with the labels that link it to its sentence and its children."""
     kept = sentence_nodes(spark, d).filter(F.col("kind").isin("sentence", "annotationSets"))
-    linked = link_by_interval(kept, {"sentence": {"record_id": F.col("fields").getItem("id").try_cast("bigint")}})
-    sets = node_table(linked, "annotationSets", {"id": "bigint", "luName": "string", "frameName": "string", "frameStatus": "string"})
-    return sets.join(linked.filter("kind = 'annotationSets'").select("record_table", "doc_id", "pre", "record_id"), ["record_table", "doc_id", "pre"])
+    linked = link_by_interval(kept, {"sentence": {"record_id": F.col("fields").getItem("id").try_cast("bigint")}}, in_order=True)
+    return node_table(linked, "annotationSets", {"id": "bigint", "luName": "string", "frameName": "string", "frameStatus": "string"}, "record_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

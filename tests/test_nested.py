@@ -44,6 +44,18 @@ def test_lone_objects_text_and_places(spark):
     assert rows(node_table(n, "target", {"start": "int"}).select("doc_id", "start")) == [(1, 3), (4, 3)]
 
 
+def test_kinds_inside_their_own_kind(spark):
+    tree = {"sub": [{"name": "A", "sub": [{"name": "B", "leaf": [{"v": 0}]}], "leaf": [{"v": 1}]}, {"name": "C"}], "leaf": [{"v": 2}]}
+    docs = spark.createDataFrame([(i, json.dumps(tree)) for i in range(3)], "doc_id bigint, payload string")
+    n = label_nodes(docs, "t", "root")
+    want = sorted([(i, v, name) for i in range(3) for v, name in (("0", "B"), ("1", "A"), ("2", None))], key=repr)
+    above = {"sub": {"in_sub": F.col("fields").getItem("name")}}
+    for nodes, in_order in ((n, True), (n, False), (n.repartition(5).orderBy(F.rand(3)), False), (n.filter("kind <> 'root'"), True)):
+        linked = link_by_interval(nodes, above, in_order)
+        assert rows(linked.filter("kind = 'leaf'").select("doc_id", F.col("fields").getItem("v"), "in_sub")) == want
+        assert rows(linked.filter("fields['name'] = 'B' AND doc_id = 0").select("in_sub")) == [("A",)]
+
+
 def brute(d: str) -> list[tuple]:
     """The rows of p2_found by plain loops."""
     lst = lambda x: x if isinstance(x, list) else [x]
