@@ -18,7 +18,9 @@ QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "＂": "＂"}
 BRACKETS = {"(": ")", "[": "]", "{": "}"}
 CLOSING = {*QUOTES.values(), *BRACKETS.values()}
 
-PASSES = 50
+_MARKS = "".join({*QUOTES, *QUOTES.values(), *BRACKETS, *BRACKETS.values()}) + "\\"
+# What Python's strip takes for white space, as a character class of Java.
+_SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 _D, _S = re.escape(DELIMITERS), re.escape("".join({*QUOTES, *QUOTES.values(), *BRACKETS, *BRACKETS.values()}))
 _LEXEME = re.compile(rf'\\u[0-9a-fA-F]{{4}}|\\.|[{_D}]|[{_S}]|[^\\{_D}{_S}]+|\\', re.S)
@@ -39,18 +41,38 @@ def split_packed(text: str | None) -> list[str]:
     value; inside it, a doubled quote and a backslash stand for the character itself. [..] or {..} around the whole
     string only enclose it. An opening quote or bracket that is never closed is an ordinary character. Values are
     trimmed; empty ones are left out, and a bare null inside [..] or {..} is no value. Null, empty and blank strings
-    give no values. A string that needs more than PASSES passes to find its unclosed marks takes all as ordinary.
+    give no values.
+
+    Whether a quote closes is known before the pass (see _closing). Brackets may be found unclosed at its end; they
+    are ordinary then and the pass is made again, until none is left: each time there are fewer.
     """
     if not text or text.isspace():
         return []
     lex = _LEXEME.findall(text)
     literal: set[int] = set()
-    for _ in range(PASSES):
+    while True:
         values, again = _pass(lex, literal)
         if not again:
             return values
         literal.update(again)
-    return _pass(lex, {i for i, x in enumerate(lex) if x in QUOTES or x in BRACKETS})[0]
+
+
+def _closing(lex: list[str], last: int) -> list[bool]:
+    """Per lexeme: whether a doubling quote opened there is closed before `last`.
+
+    Inside it two quotes in a row stand for one, so it closes at the first run of an odd number of quotes after it.
+    One scan from the end: the length of the run that begins at the next lexeme, and whether a later run is odd.
+    """
+    out = [False] * (last + 1)
+    run, later = 0, False
+    for i in range(last - 1, -1, -1):
+        out[i] = run % 2 == 1 or later
+        if lex[i] == '"':
+            run += 1
+        elif run:
+            later = later or run % 2 == 1
+            run = 0
+    return out
 
 
 def _enclosed(lex: list[str]) -> tuple[int, int]:
@@ -83,6 +105,7 @@ def _pass(lex: list[str], literal: set[int]) -> tuple[list[str], list[int]]:
         first, last = _enclosed(lex)
     enclosed = (first, last) != (0, len(lex))
     final = {x: i for i, x in enumerate(lex[:last]) if x in CLOSING}
+    closing = _closing(lex, last)
     values: list[str] = []
     value: list[str] = []
     raw: list[str] = []
@@ -116,7 +139,7 @@ def _pass(lex: list[str], literal: set[int]) -> tuple[list[str], list[int]]:
         elif quoted and not x.isspace():  # text after the closing quote: the marks belong to the value
             raw.append(x)
             value, quoted, filled = [*raw], False, True
-        elif not quoted and i not in literal and x in QUOTES and not filled and final.get(QUOTES[x], -1) > i:
+        elif not quoted and i not in literal and x in QUOTES and not filled and (closing[i] if x == '"' else final.get(QUOTES[x], -1) > i):
             value, raw, quoted, opened = [], [x], True, i
             quote = QUOTES[x]
         else:
@@ -138,14 +161,24 @@ def _pass(lex: list[str], literal: set[int]) -> tuple[list[str], list[int]]:
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def split_packed_udf(texts: pa.Array) -> pa.Array:
-    return pa.array([split_packed(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+    return pa.array([None if x is None else split_packed(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def split_plain(text: Column) -> Column:
+    """The values of a string without any quote, bracket or backslash, in the JVM; equal to split_packed on these."""
+    parts = F.split(text, f"[{re.escape(DELIMITERS)}]")
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, f"^[{_SPACE}]+|[{_SPACE}]+$", "")), lambda x: x != "")
 
 
 def explode_packed(df: DataFrame, id_col: str, field: Column | str, label: str) -> DataFrame:
     """field STRING, record_id, value_pos INT (from 1), value STRING: one row per value of the packed column.
 
     One row of an id counts (see one_per_id). Null, empty and blank strings give no rows; repeated values are kept.
+    Strings without marks are split in the JVM; only the others go through the tokenizer's Python.
     """
     value = F.col(field) if isinstance(field, str) else field
     rows = one_per_id(df, id_col, value.cast("string").alias("_packed")).filter(F.length(F.trim("_packed")) > 0)
-    return rows.select(F.lit(label).alias("field"), F.col(id_col).cast("bigint").alias("record_id"), F.posexplode(split_packed_udf("_packed")).alias("_p", "value")).select("field", "record_id", (F.col("_p") + 1).cast("int").alias("value_pos"), "value")
+    marked = F.col("_packed").rlike(f"[{re.escape(_MARKS)}]")
+    split = rows.select(F.col(id_col).cast("bigint").alias("record_id"), "_packed", split_packed_udf(F.when(marked, F.col("_packed"))).alias("_v"))
+    values = F.posexplode(F.coalesce("_v", split_plain(F.col("_packed")))).alias("_p", "value")
+    return split.select("record_id", values).select(F.lit(label).alias("field"), "record_id", (F.col("_p") + 1).cast("int").alias("value_pos"), "value")

@@ -8,6 +8,9 @@ from conftest import needs_data, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from lexforge.operators import packed
 from lexforge.operators.packed import explode_packed, split_packed
 
 
@@ -77,3 +80,24 @@ def test_empty_and_clashing_columns(spark, empty_dir, wide_dir):
 
     assert p6_found(spark, empty_dir).count() == 0
     assert rows(p6_found(spark, wide_dir)) == rows(p6_found(spark, DATA))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet='a" ,;()[]{}\\“”n', max_size=30))
+def test_closing_is_known_before_the_pass(text):
+    """Any string ends, and with every mark it leaves unclosed taken as ordinary nothing is lost but delimiters, marks and escapes."""
+    values = packed.split_packed(text)
+    kept = sum(c == "a" for c in text)
+    assert sum(v.count("a") for v in values) == kept
+
+
+def test_many_unclosed_marks():
+    assert packed.split_packed(", ".join(['"a" (b'] * 200)) == ['"a" (b'] * 200
+    assert packed.split_packed("; ".join(f"(x{i}" for i in range(120))) == [f"(x{i}" for i in range(120)]
+
+
+def test_plain_strings_in_the_jvm(spark):
+    texts = ["a, b;c", " x ", ",,;", "a\u00a0,\u2003b\u3000", "\x1fa\x1c/b\tc\u200b", "null, a", "、ä｜ß", "a.b", "\x85z"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["v"] for r in df.select("i", packed.split_plain(F.col("t")).alias("v")).collect()}
+    assert got == {i: packed.split_packed(x) for i, x in enumerate(texts)}
