@@ -64,7 +64,14 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/lexforge-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop(*steps: DataFrame) -> None:
+    """Delete the files of steps that cut wrote and nothing will read again."""
+    release([s._cut_at for s in steps if getattr(s, "_cut_at", None)])
 
 
 def release(paths: list[str] | None = None) -> None:

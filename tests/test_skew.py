@@ -12,5 +12,6 @@ def test_hot_and_cold_keys(spark):
     stats = df.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"))
     want = rows(df.join(stats, "key").select("id", "key", "n", "low"))
     for slices in (1, 2, 5, 1000):
-        assert rows(join_stats(df, stats, "key", "n", "id", slices)) == want
+        assert rows(join_stats(df, stats, "key", "n", "id", slices, 0)) == want
+    assert rows(join_stats(df, stats, "key", "n", "id")) == want
     assert join_stats(df.limit(0), stats.limit(0), "key", "n", "id").count() == 0
