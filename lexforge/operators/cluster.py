@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.operators.terms import ranked
 from lexforge.session import cut as cut_lineage
 
 LIMIT = 12_000  # rows of a dense distance matrix on one machine
@@ -279,8 +281,16 @@ def linkage_cuts(df: DataFrame, item: str, vector: str, cuts: tuple[int, ...] =
     return df.sparkSession.createDataFrame(out, f"{item} {dict(df.dtypes)[item]}, k int, label int")
 
 
+def core_distances(d: np.ndarray, min_samples: int) -> np.ndarray:
+    """From a matrix of distances with zeros in the diagonal; a point is its own first neighbour."""
+    return np.partition(d, min(max(min_samples, 1), len(d)) - 1, 1)[:, min(max(min_samples, 1), len(d)) - 1]
+
+
 def density_labels(v: np.ndarray, min_size: int = 5, min_samples: int = 1, metric: str = "euclidean") -> np.ndarray:
-    """HDBSCAN with leaf selection: mutual-reachability spanning tree, condensed tree, leaves; -1 is noise."""
+    """HDBSCAN with leaf selection: mutual-reachability spanning tree, condensed tree, leaves; -1 is noise.
+
+    A point's core distance is that to its min_samples-th nearest point, itself counted as the first.
+    """
     n = len(v)
     if n < 2 * min_size:
         return np.full(n, -1)
@@ -291,7 +301,7 @@ def density_labels(v: np.ndarray, min_size: int = 5, min_samples: int = 1, metri
         sq = (v * v).sum(1)
         d = np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * v @ v.T, 0))
     np.fill_diagonal(d, 0)
-    core = np.sort(d, 1)[:, min(min_samples, n - 1)]
+    core = core_distances(d, min_samples)
     d = np.maximum(d, np.maximum(core[:, None], core[None]))
     inside, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
     at, edges = 0, []
@@ -305,7 +315,6 @@ def density_labels(v: np.ndarray, min_size: int = 5, min_samples: int = 1, metri
     edges.sort(key=lambda e: e[2])
     parent, node = list(range(n)), list(range(n))
     children: dict[int, tuple[int, int, float]] = {}
-    count = [1] * n
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -321,7 +330,6 @@ def density_labels(v: np.ndarray, min_size: int = 5, min_samples: int = 1, metri
         sizes[new] = sizes[node[ra]] + sizes[node[rb]]
         parent[rb] = ra
         node[ra] = new
-    del count
     labels, leaves = np.full(n, -1), 0
     todo = [n + len(edges) - 1]
     root = todo[0]
@@ -370,10 +378,8 @@ def bisecting_kmeans(df: DataFrame, item: str, vector: str, k: int, seed: int =
 
 def relabel_by_size(df: DataFrame, label: str) -> DataFrame:
     """df with label renumbered from 0 by descending size, ties by the old label; noise stays -1."""
-    from pyspark.sql import Window
-
     size = df.filter(F.col(label) != -1).groupBy(label).agg(F.count("*").alias("n"))
-    ranks = size.select(label, (F.row_number().over(Window.orderBy(F.desc("n"), label)) - 1).alias("_new"))
+    ranks = ranked(size, F.desc("n"), F.col(label)).select(label, (F.col("rank") - 1).cast("int").alias("_new"))
     return df.join(ranks, label, "left").withColumn(label, F.coalesce("_new", F.lit(-1))).drop("_new")
 
 
@@ -418,7 +424,8 @@ def louvain(edges: list[tuple[int, int, float]], resolution: float = 3.0, seed:
                 a, b = where[x], where[y]
                 merged[a][b] = merged[a].get(b, 0) + w
         graph = merged
-    ranks = {c: i for i, c in enumerate(sorted(set(member.values()), key=lambda c: (-sum(m == c for m in member.values()), c)))}
+    sizes = Counter(member.values())
+    ranks = {c: i for i, c in enumerate(sorted(sizes, key=lambda c: (-sizes[c], c)))}
     return {x: ranks[c] for x, c in member.items()}
 
 

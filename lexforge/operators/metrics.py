@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.functions.vectors import dot, labelled, mean_vector, square_distance, unit
+from lexforge.operators.terms import ranked
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -33,37 +34,44 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("items", F.when(F.col("items").isNull(), None).when(most == expected, 1.0).otherwise((F.col("s") - expected) / (most - expected)).alias("ari"))
 
 
-def _mutual(ns: list[int], rows: list[int], cols: list[int]) -> tuple[float, float, float, float]:
-    """MI, expected MI, and the entropies of both sides, from cell and margin counts."""
-    n = sum(rows)
-    h = lambda c: -sum(x / n * math.log(x / n) for x in c if x)
+def _expected_mutual(rows: list[tuple[int, int]], cols: list[tuple[int, int]]) -> float:
+    """The expected mutual information of random partitions with these margins: (size, how many clusters have it)."""
+    n = sum(s * c for s, c in rows)
     log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
     emi = 0.0
-    from collections import Counter
-
-    for (i, ni), (j, nj) in ((p, q) for p in Counter(rows).items() for q in Counter(cols).items()):
-        k = np.arange(max(1, i + j - n), min(i, j) + 1)
-        term = k / n * (np.log(n * k) - math.log(i * j)) * np.exp(log[i] + log[j] + log[n - i] + log[n - j] - log[n] - log[k] - log[i - k] - log[j - k] - log[n - i - j + k])
-        emi += ni * nj * float(term.sum())
-    return 0.0, emi, h(rows), h(cols)
-
-
-def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (items, mi, ami), normalised by the mean entropy (M2). Only the margins' counts come to the driver."""
+    sizes, often = (np.array([c[k] for c in cols]) for k in (0, 1))
+    for i, ni in rows:
+        low, high = np.maximum(1, i + sizes - n), np.minimum(i, sizes)
+        reach = np.maximum(high - low + 1, 0)
+        j, w = np.repeat(sizes, reach), np.repeat(often, reach)
+        k = np.repeat(low - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
+        term = k / n * (np.log(n * k) - np.log(float(i) * j)) * np.exp(log[i] + log[j] + log[n - i] + log[n - j] - log[n] - log[k] - log[i - k] - log[j - k] - log[n - i - j + k])
+        emi += ni * float((term * w).sum())
+    return emi
+
+
+def adjusted_mutual_information(df: DataFrame, a: str, b: str, most: int = 20_000_000) -> DataFrame:
+    """One row (items, mi, ami), normalised by the mean entropy (M2). 0 items give nulls.
+
+    To the driver come the distinct sizes of clusters with how many have them: of n items at most sqrt(2 n) on a side.
+    Its table of logarithms has a place per item, so more than `most` items are an error.
+    """
     table = _cells(df, a, b)
     rows, cols = (table.groupBy(x).agg(F.sum("n").alias(f"{x}_n")) for x in ("_a", "_b"))
-    left, right = ([r[1] for r in side.collect()] for side in (rows, cols))
-    items = sum(left)
+    left, right = ([(int(r[0]), int(r[1])) for r in side.groupBy(side.columns[1]).count().collect()] for side in (rows, cols))
+    items = sum(s * c for s, c in left)
     spark = df.sparkSession
     schema = "items bigint, mi double, ami double"
     if not items:
         return spark.createDataFrame([(0, None, None)], schema)
+    if items > most:
+        raise ValueError(f"more than {most} items")
     cell = table.join(rows, "_a").join(cols, "_b")
     p = F.col("n") / F.lit(items)
     mi = cell.agg(F.sum(p * F.log(p * items * items / (F.col("_a_n") * F.col("_b_n"))))).first()[0]
-    _, emi, ha, hb = _mutual([], left, right)
-    mean = (ha + hb) / 2
-    ami = 1.0 if len(left) == len(right) == 1 or mean == emi else (mi - emi) / (mean - emi)
+    entropy = lambda side: -sum(c * (s / items) * math.log(s / items) for s, c in side)
+    emi, mean = _expected_mutual(left, right), (entropy(left) + entropy(right)) / 2
+    ami = 1.0 if mean == emi or sum(c for _, c in left) == sum(c for _, c in right) == 1 else (mi - emi) / (mean - emi)
     return spark.createDataFrame([(items, float(mi), float(ami))], schema)
 
 
@@ -135,22 +143,62 @@ def affix_shares(df: DataFrame, cluster: str, form: str, least: int = 3) -> Data
     counting only in n; clusters of at least `least` (A23). form is accent-stripped and lower case."""
     size = df.groupBy(cluster).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     long = df.filter(F.length(form) >= 4)
-    parts = [long.groupBy(cluster, F.substring(form, s, 3).alias("x")).agg(F.count("*").alias("c")).groupBy(cluster).agg(F.max("c").alias(k)) for s, k in ((1, "p"), (-3, "s"))]
+    parts = [long.groupBy(cluster, F.substring(form, s, 3).alias("x")).agg(F.count("*").alias("_n")).groupBy(cluster).agg(F.max("_n").alias(k)) for s, k in ((1, "p"), (-3, "s"))]
     out = size.join(parts[0], cluster, "left").join(parts[1], cluster, "left")
     return out.select(cluster, "n", (F.coalesce("p", F.lit(0)) / F.col("n")).alias("prefix_share"), (F.coalesce("s", F.lit(0)) / F.col("n")).alias("suffix_share"))
 
 
-def affix_null(df: DataFrame, cluster: str, form: str, draws: int = 60, seed: int = 0) -> DataFrame:
-    """cluster, prefix_null, suffix_null: 95th percentile of the shares in `draws` random partitions of the same sizes (M6).
+def _dealt(rows: DataFrame, draws: int, seed: int) -> DataFrame:
+    """draw and all columns of rows (c, ...), the labels c dealt out anew in each draw by hash order.
 
-    A draw deals the forms out by hash order over the clusters' sizes, so each is one sort by draw.
+    One sort over ranges ranks the labels, another the rows of all draws (see terms.ranked); a draw has as many rows as
+    the table, so a row's rank within its draw follows. No task holds all rows of a draw.
     """
+    first = ranked(rows, F.col("c")).withColumnRenamed("rank", "i")
+    n = first.count()
+    every = first.select("i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"), *[c for c in rows.columns if c != "c"])
+    order = ranked(every, F.col("draw"), F.xxhash64("i", F.lit(seed), F.col("draw")), F.col("i")).withColumn("r", F.col("rank") - (F.col("draw") - 1) * n)
+    return order.drop("rank", "i").join(first.select(F.col("i").alias("r"), "c"), "r").drop("r")
+
+
+def affix_null(df: DataFrame, cluster: str, form: str, draws: int = 60, seed: int = 0) -> DataFrame:
+    """cluster, prefix_null, suffix_null: 95th percentile of the shares in `draws` random partitions of the same sizes (M6)."""
     rows = df.select(F.col(cluster).alias("c"), F.col(form).alias("f"))
-    deal = rows.select("f", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"), F.monotonically_increasing_id().alias("i")).withColumn("r", F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64("f", "i", F.lit(seed), "draw"), "i")))
-    slots = rows.select("c", F.row_number().over(Window.orderBy("c")).alias("r"))
-    dealt = deal.join(slots, "r").withColumn("key", F.concat_ws("#", F.col("c").cast("string"), F.col("draw").cast("string")))
-    s = affix_shares(dealt, "key", "f").withColumn("c", F.split("key", "#")[0])
-    return s.groupBy("c").agg(F.percentile("prefix_share", F.lit(0.95)).alias("prefix_null"), F.percentile("suffix_share", F.lit(0.95)).alias("suffix_null")).withColumnRenamed("c", cluster)
+    kind = dict(df.dtypes)[cluster]
+    dealt = _dealt(rows, draws, seed).withColumn("key", F.struct("c", "draw"))
+    s = affix_shares(dealt, "key", "f").select(F.col("key.c").cast(kind).alias(cluster), "prefix_share", "suffix_share")
+    return s.groupBy(cluster).agg(F.percentile("prefix_share", F.lit(0.95)).alias("prefix_null"), F.percentile("suffix_share", F.lit(0.95)).alias("suffix_null"))
+
+
+def form_driven(df: DataFrame, cluster: str, form: str, draws: int = 60, seed: int = 0) -> DataFrame:
+    """cluster, n, prefix_share, suffix_share, prefix_null, suffix_null, form_driven: whether either share exceeds its null (M6)."""
+    both = affix_shares(df, cluster, form).join(affix_null(df, cluster, form, draws, seed), cluster)
+    return both.withColumn("form_driven", (F.col("prefix_share") > F.col("prefix_null")) | (F.col("suffix_share") > F.col("suffix_null")))
+
+
+def shuffled_silhouette(df: DataFrame, label: str, vector: str, dims: int, seed: int = 0) -> DataFrame:
+    """One row (items, silhouette) with the labels dealt out at random, noise left out: the baseline of M1."""
+    rows = df.filter(labelled(label) & F.col(vector).isNotNull()).select(F.col(label).alias("c"), F.col(vector).alias("x"))
+    return silhouette(_dealt(rows, 1, seed), "c", "x", dims)
+
+
+def sample_rows(df: DataFrame, item: str, share: float = 0.9, seed: int = 0) -> DataFrame:
+    """A sample without replacement of exactly floor(share * rows) rows, those first by hash of the id.
+
+    The hash at that place comes from a count by its leading bits and a sort of the one slice it falls into.
+    """
+    n = int(df.count() * share)
+    at = F.struct(F.xxhash64(item, F.lit(seed)).alias("h"), F.col(item).alias("i"))
+    slice_ = F.shiftright(F.xxhash64(item, F.lit(seed)), 48)
+    before = 0
+    for s, k in sorted(df.groupBy(slice_.alias("s")).agg(F.count("*").alias("n")).collect()):  # at most 65,536 rows
+        if before + k > n:
+            inside = df.filter(slice_ == s).select(at.alias("at")).orderBy("at").limit(n - before)
+            last = inside.agg(F.max("at")).first()[0]
+            head = slice_ < s
+            return df.filter(head if last is None else head | (at <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["i"]).alias("i"))))
+        before += k
+    return df
 
 
 def sample_share(df: DataFrame, item: str, share: float = 0.9, seed: int = 0) -> DataFrame:

@@ -26,6 +26,16 @@ def first_target(tokens: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     return hit.groupBy(key, "token_pos").agg(F.min("target_pos").alias("target_pos"))
 
 
+def contained_tokens(tokens: DataFrame, elements: DataFrame, key: str) -> DataFrame:
+    """key, fe_id, token_pos: the tokens that lie wholly inside each element (inclusive bounds) (J15). elements: key, fe_id, start, end.
+
+    Spans without both bounds, and those that end before they start, hold nothing.
+    """
+    t = tokens.filter("start <= end").select(key, "token_pos", F.col("start").alias("ts"), F.col("end").alias("te"))
+    e = elements.filter("start <= end").select(key, "fe_id", "start", "end")
+    return t.join(e, key).filter("ts >= start AND te <= end").select(key, "fe_id", "token_pos")
+
+
 def rank_passages(tokens: DataFrame, key: str, lemma: str, wanted: DataFrame, top: int = 15) -> DataFrame:
     """key, n_lemmas, n_words of the passages with at least two wanted lemmas: most lemmas, then fewest words (L3)."""
     w = wanted.select(F.col("lemma").alias(lemma), F.lit(1).alias("_w")).distinct()

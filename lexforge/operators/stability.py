@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.operators.cluster import linkage_cuts
-from lexforge.operators.metrics import adjusted_rand, sample_share
+from lexforge.operators.metrics import adjusted_rand, sample_rows
 from lexforge.session import cut
 
 
@@ -26,6 +26,6 @@ def subsample_stability(df: DataFrame, item: str, vector: str, k: int = 80, tria
     whole = cut(linkage_cuts(df, item, vector, (k,), "average").select(item, F.col("label").alias("whole")), "whole")
     rows = []
     for t in range(1, trials + 1):
-        part = linkage_cuts(sample_share(df, item, share, t), item, vector, (k,), "average")
+        part = linkage_cuts(sample_rows(df, item, share, t), item, vector, (k,), "average")
         rows.append(adjusted_rand(part.join(whole, item), "label", "whole").select(F.lit(t).alias("trial"), "items", "ari"))
     return reduce(DataFrame.union, rows).filter("items > 0")

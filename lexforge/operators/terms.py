@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import window_id
 from lexforge.functions.vectors import labelled
+from lexforge.operators.skew import join_stats
 from lexforge.session import cut
 
 # English function words left out of label terms.
@@ -78,19 +82,44 @@ def class_tfidf(df: DataFrame, cluster: str, text: str, stops: tuple[str, ...] =
     totals = tf.groupBy(cluster).agg(F.sum("n").alias("total"))
     spread = tf.groupBy("term").agg(F.count("*").alias("df"))
     clusters = rows.agg(F.countDistinct(cluster)).scalar()
-    return tf.join(totals, cluster).join(spread, "term").select(cluster, "term", (F.col("n") / F.col("total") * F.log(1 + clusters / F.col("df"))).alias("score"))
+    return join_stats(tf.join(totals, cluster), spread, "term", "df", cluster).select(cluster, "term", (F.col("n") / F.col("total") * F.log(1 + clusters / F.col("df"))).alias("score"))
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
+    """cluster, name of rows (cluster, term) that come cluster by cluster, best term first."""
+    at, seen, names, out = None, False, [], ([], [])
+
+    def close() -> None:
+        out[0].append(at)
+        out[1].append(", ".join(names))
+
+    for b in batches:
+        kind = b.schema.field(0).type
+        for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if not seen or c != at:
+                if seen:
+                    close()
+                at, seen, names = c, True, []
+            if len(names) < top and not any(t in x or x in t for x in names):
+                names.append(t)
+        yield pa.record_batch([pa.array(out[0], kind), pa.array(out[1], pa.string())], names=["_c", "name"])
+        out = ([], [])
+    if seen:
+        close()
+        yield pa.record_batch([pa.array(out[0], kind), pa.array(out[1], pa.string())], names=["_c", "name"])
 
 
 def name_clusters(scores: DataFrame, cluster: str, top: int = 4) -> DataFrame:
-    """cluster, name: the best terms joined by ' / ', skipping a term that contains or is contained in one chosen before.
+    """cluster, name: the best terms joined by ', ', skipping a term that contains or is contained in one chosen before.
 
-    Only the first 40 terms of a cluster are looked at; '(unnamed)' if none has a score over 0.
+    A cluster's terms are walked from the best on until `top` are chosen, in sorted order and one row at a time, so
+    nothing is gathered; '(unnamed)' if none has a score over 0.
     """
-    ranked = top_k(scores.filter("score > 0"), [cluster], [F.desc(F.round("score", 12)), F.col("term")], 40)
-    terms = ranked.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
-    chosen = F.aggregate(F.col("t.term"), F.array().cast("array<string>"), lambda acc, x: F.when((F.size(acc) < top) & ~F.exists(acc, lambda y: F.contains(x, y) | F.contains(y, x)), F.concat(acc, F.array(x))).otherwise(acc))
+    kept = scores.filter("score > 0").select(F.col(cluster).alias("_c"), "term", F.round("score", 12).alias("_s"))
+    walked = kept.repartition("_c").sortWithinPartitions("_c", F.desc("_s"), "term").select("_c", "term")
+    chosen = walked.mapInArrow(lambda b: _chosen(b, top), f"_c {dict(scores.dtypes)[cluster]}, name string")
     every = scores.select(cluster).distinct()
-    return every.join(terms, cluster, "left").select(cluster, F.coalesce(F.nullif(F.array_join(chosen, " / "), F.lit("")), F.lit("(unnamed)")).alias("name"))
+    return every.join(chosen, F.col(cluster).eqNullSafe(F.col("_c")), "left").select(cluster, F.coalesce("name", F.lit("(unnamed)")).alias("name"))
 
 
 def tfidf(df: DataFrame, doc: str, tokens: str, min_df: int = 3) -> DataFrame:
@@ -101,7 +130,7 @@ def tfidf(df: DataFrame, doc: str, tokens: str, min_df: int = 3) -> DataFrame:
     tf = term_counts(df, tokens, [doc])
     spread = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     n = df.agg(F.count("*")).scalar()
-    raw = tf.join(spread, "term").select(doc, "term", (F.col("n") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
+    raw = join_stats(tf, spread, "term", "df", doc).select(doc, "term", (F.col("n") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
     return raw.select(doc, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))).alias("weight"))
 
 
@@ -127,11 +156,11 @@ def nmf_topics(weights: DataFrame, doc: str, topics: int = 20, rounds: int = 60,
     The reference factorises about a thousand windows on one machine; here too it is a driver step on a bounded
     table: at most `documents` documents and `terms` terms, or an error tells so. Beyond that use als_topics.
     """
+    if weights.select(doc).distinct().count() > documents or weights.select("term").distinct().count() > terms:
+        raise ValueError("the table is too large for the driver; use als_topics")
     rows = weights.toArrow()
     d, di = np.unique(rows[doc].to_numpy(zero_copy_only=False), return_inverse=True)
     t, ti = np.unique(np.array(rows["term"].to_pylist(), object), return_inverse=True)
-    if len(d) > documents or len(t) > terms:
-        raise ValueError("the table is too large for the driver; use als_topics")
     x = rows["weight"].to_numpy()
     rng = np.random.default_rng(seed)
     w, h = rng.random((len(d), topics)) + 1e-3, rng.random((topics, len(t))) + 1e-3
@@ -153,7 +182,7 @@ def als_topics(weights: DataFrame, doc: str, topics: int = 20, rounds: int = 10,
     """As nmf_topics by MLlib's non-negative ALS over any size; doc must be an integer. Implicit zeros count as preference 0."""
     from pyspark.ml.recommendation import ALS
 
-    terms = weights.select("term").distinct().withColumn("tid", F.row_number().over(Window.orderBy("term")))
+    terms = ranked(weights.select("term").distinct(), F.col("term")).select("term", F.col("rank").cast("int").alias("tid"))
     rows = weights.join(terms, "term").select(F.col(doc).cast("int").alias("u"), "tid", F.col("weight").cast("float").alias("r"))
     model = ALS(rank=topics, maxIter=rounds, nonnegative=True, implicitPrefs=True, userCol="u", itemCol="tid", ratingCol="r", seed=seed).fit(rows)
     a = model.userFactors.select(F.col("id").alias(doc), F.posexplode("features").alias("topic", "weight"))
@@ -161,15 +190,22 @@ def als_topics(weights: DataFrame, doc: str, topics: int = 20, rounds: int = 10,
     return a, b
 
 
-def anchored_topics(tf: DataFrame, doc: str, anchors: DataFrame, strength: float = 4.0) -> DataFrame:
+def anchored_topics(tf: DataFrame, doc: str, anchors: DataFrame, strength: float = 4.0, most: int = 10_000) -> DataFrame:
     """doc, topic, score: mean pointwise mutual information of a document's terms with each topic's anchor terms,
-    anchors themselves counting `strength` (E9, by another method). anchors: topic, term (a small fixed table)."""
+    anchors themselves counting `strength` (E9, by another method). anchors: topic, term; more than `most` are an error.
+
+    A term's values for all topics form one row of statistics, which meets the documents spread by their hash.
+    """
+    if anchors.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} anchors")
     docs = tf.select(doc, "term").distinct()
     n = docs.agg(F.countDistinct(doc)).scalar()
     with_topic = docs.join(F.broadcast(anchors), "term").select(doc, "topic").distinct()
     per_topic = with_topic.groupBy("topic").agg(F.count("*").alias("nt"))
     per_term = docs.groupBy("term").agg(F.count("*").alias("nd"))
     joint = docs.join(with_topic, doc).groupBy("topic", "term").agg(F.count("*").alias("nj"))
-    pmi = joint.join(per_topic, "topic").join(per_term, "term").select("topic", "term", F.log(F.col("nj") * n / (F.col("nt") * F.col("nd"))).alias("pmi"))
+    pmi = joint.join(F.broadcast(per_topic), "topic").join(per_term, "term").select("topic", "term", "nd", F.log(F.col("nj") * n / (F.col("nt") * F.col("nd"))).alias("pmi"))
     boosted = pmi.join(F.broadcast(anchors.withColumn("_a", F.lit(strength))), ["topic", "term"], "left")
-    return docs.join(boosted, "term").groupBy(doc, "topic").agg(F.avg(F.col("pmi") * F.coalesce("_a", F.lit(1.0))).alias("score"))
+    by_term = boosted.groupBy("term").agg(F.first("nd").alias("nd"), F.collect_list(F.struct("topic", (F.col("pmi") * F.coalesce("_a", F.lit(1.0))).alias("v"))).alias("topics"))
+    scored = join_stats(docs, by_term, "term", "nd", doc).select(doc, F.explode("topics").alias("x"))
+    return scored.groupBy(doc, F.col("x.topic").alias("topic")).agg(F.avg("x.v").alias("score"))

@@ -23,6 +23,23 @@ def span_violations(spans: DataFrame) -> DataFrame:
     return spans.filter("start IS NOT NULL AND end IS NOT NULL").filter(~F.expr("text <=> text AND substring(text, start + 1, end - start + 1) <=> span_text"))
 
 
+def element_violations(elements: DataFrame, frames: DataFrame) -> DataFrame:
+    """The rows of elements (id, frame, fe) whose frame is known but has no element of that name (V2).
+
+    frames: frame, fes ARRAY (core and other ones); proposals of one name count together. Null names aren't checked.
+    """
+    known = frames.select("frame", F.explode("fes").alias("fe")).distinct()
+    asked = elements.filter("frame IS NOT NULL AND fe IS NOT NULL")
+    of_known = asked.join(frames.select("frame").distinct(), "frame", "left_semi")
+    return of_known.join(known, ["frame", "fe"], "left_anti")
+
+
+def search_units(frames: DataFrame, pattern: str) -> DataFrame:
+    """frame, lemma, pos of the lexical units whose lemma matches a regular expression, in any case (V3). frames: frame, lexical_units."""
+    units = frames.select("frame", F.explode("lexical_units").alias("u")).filter("u IS NOT NULL")
+    return units.select("frame", "u.lemma", "u.pos").filter(F.col("lemma").rlike("(?i)" + pattern))
+
+
 def lookup(lexicon: DataFrame, column: str, pattern: str) -> DataFrame:
     """Rows whose column matches a regular expression, in any case (V3)."""
     return lexicon.filter(F.col(column).rlike("(?i)" + pattern))

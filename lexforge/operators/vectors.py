@@ -35,7 +35,10 @@ def rank_by_centroid(df: DataFrame, cluster: str, item: str, vector: str, dims:
 
 def coherence(df: DataFrame, cluster: str, item: str, vector: str, dims: int) -> DataFrame:
     """cluster, n, coherence: mean similarity of the members to their centroid (M8)."""
-    return rank_by_centroid(df, cluster, item, vector, dims).groupBy(cluster).agg(F.count("*").alias("n"), F.avg("similarity").alias("coherence"))
+    rows = df.filter(labelled(cluster))
+    joined = rows.join(centroids(rows, [cluster], vector, dims), cluster)
+    near = dot(unit(F.col(vector)), F.col("centroid"))
+    return joined.groupBy(cluster).agg(F.count("*").alias("n"), F.avg(near).alias("coherence"))
 
 
 def best_examples(df: DataFrame, cluster: str, item: str, vector: str, dims: int, k: int = 5) -> DataFrame:
@@ -59,37 +62,82 @@ def both_ends(coherent: DataFrame, cluster: str, top: int = 12, bottom: int = 8,
     return end("top", F.desc("coherence"), top).union(end("bottom", F.asc("coherence"), bottom))
 
 
-def _topk(queries: DataFrame, corpus: DataFrame, item: str, vector: str, k: int, exclude_self: bool) -> DataFrame:
-    """query, item, similarity: the k most similar rows of corpus for each row of queries, partly reduced per batch.
+_GROUP = "k long, ids binary, dims int, data binary"
+
+
+def _grouped(rows: DataFrame, item: str, vector: str, name: str, groups: int) -> DataFrame:
+    """name, rows: of each of `groups` hash groups the ids and unit vectors, packed as binary in the tasks that read them.
+
+    A group comes as one piece per task, so nothing is collected row by row.
+    """
 
-    Queries come in blocks of at most 1,024 vectors; every block meets each batch of the corpus as one matrix
-    product, and only k rows per query and batch leave the task. A block is small whatever the table's size.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, group = b.column(0).to_numpy(), b.column(1).to_numpy()
+            flat, n = b.column(2), b.num_rows
+            width = np.diff(flat.offsets.to_numpy())
+            if n and (width != width[0]).any():
+                raise ValueError("vectors differ in length")
+            v = flat.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            keys = np.unique(group)
+            at = [np.flatnonzero(group == k) for k in keys]
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([ids[i].tobytes() for i in at], pa.binary()), pa.array([v.shape[1]] * len(keys), pa.int32()), pa.array([v[i].tobytes() for i in at], pa.binary())], names=["k", "ids", "dims", "data"])
+
+    known = rows.filter(F.col(vector).isNotNull()).select(F.col(item).cast("bigint").alias("i"), F.pmod(F.xxhash64(item), F.lit(groups)).cast("bigint").alias("g"), F.col(vector).cast("array<double>").alias("v"))
+    return known.mapInArrow(pack, _GROUP).select(F.col("k").alias(name), "ids", "dims", "data")
+
+
+def _topk(queries: DataFrame, corpus: DataFrame, item: str, vector: str, k: int, exclude_self: bool, chunk: int = 16384) -> DataFrame:
+    """query, item, similarity: the k most similar rows of corpus for each row of queries, partly reduced per pair.
+
+    Both tables come in hash groups of about `chunk` vectors (smaller ones where that leaves cores idle), as binary
+    pieces. Every pair of groups is one key: its pieces meet in one task, as matrix products of 1,024 queries at a time
+    over binary buffers, and k rows per query leave it. A task holds one pair, whatever the tables' sizes, and each
+    table is sent as often as the other one has groups.
     """
-    blocks = queries.select(F.col(item).alias("q"), F.col(vector).cast("array<float>").alias("v")).filter("v IS NOT NULL")
-    n = F.greatest(F.lit(1), F.ceil(blocks.agg(F.count("*")).scalar() / 1024)).cast("bigint")
-    grouped = blocks.withColumn("block", F.pmod(F.xxhash64("q"), n)).groupBy("block").agg(F.collect_list("q").alias("qs"), F.collect_list("v").alias("vs"))
-    parts = F.greatest(F.lit(1), F.least(F.lit(4096), F.ceil(corpus.agg(F.count("*")).scalar() / 65536))).cast("bigint")
-    rows = corpus.select(F.col(item).alias("c"), F.col(vector).cast("array<float>").alias("w")).filter("w IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("c"), parts))
-    chunks = rows.groupBy("part").agg(F.collect_list("c").alias("cs"), F.collect_list("w").alias("ws"))
-    pairs = grouped.select("block", "qs", "vs", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part")).join(chunks, "part").select("qs", "vs", "cs", "ws")
+    asked, known = queries.count(), corpus.count()
+    m = max(1, -(-known // chunk))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-asked // chunk), min(-(-asked // 64), -(-2 * cores // m)))
+    q, c = (_grouped(df, item, vector, name, g) for df, name, g in ((queries, "block", n), (corpus, "part", m)))
+    every = lambda x: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(x - 1).cast("bigint")))
+    left = q.select("block", every(m).alias("part"), F.lit(True).alias("asks"), "ids", "dims", "data")
+    right = c.select(every(n).alias("block"), "part", F.lit(False).alias("asks"), "ids", "dims", "data")
+
+    def best(qi: np.ndarray, a: np.ndarray, ci: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        s = a @ w.T
+        if exclude_self:
+            s[qi[:, None] == ci[None, :]] = -np.inf
+        near = np.round(s, 12)
+        if s.shape[1] > 4 * k:  # the k-th value bounds what has to be sorted; ties stay in
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+            i, j = np.nonzero(near >= least[:, None])
+        else:
+            i, j = (x.ravel() for x in np.indices(s.shape))
+        order = np.lexsort((ci[j], -near[i, j], i))
+        i, j = i[order], j[order]
+        ok = (np.arange(len(i)) - np.searchsorted(i, i) < k) & np.isfinite(s[i, j])
+        i, j = i[ok], j[ok]
+        return pa.record_batch([pa.array(qi[i], pa.int64()), pa.array(ci[j], pa.int64()), pa.array(s[i, j], pa.float64())], names=["query", "item", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
         for b in batches:
-            for qs, vs, cs, ws in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                q, c = np.array(qs), np.array(cs)
-                a, m = np.array(vs, np.float64), np.array(ws, np.float64)
-                a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-                s = a @ m.T
-                if exclude_self:
-                    s[q[:, None] == c[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(c, s.shape), -np.round(s, 12)), axis=1)[:, :k]
-                i = np.repeat(np.arange(len(q)), order.shape[1])
-                j = order.ravel()
-                ok = np.isfinite(s[i, j])
-                yield pa.record_batch([pa.array(q[i[ok]], pa.int64()), pa.array(c[j[ok]], pa.int64()), pa.array(s[i[ok], j[ok]], pa.float64())], names=["query", "item", "similarity"])
-
-    return pairs.mapInArrow(run, "query bigint, item bigint, similarity double")
+            for asks, ids, dims, data in zip(*[b.column(x).to_pylist() for x in ("asks", "ids", "dims", "data")], strict=True):
+                sides[asks][0].append(np.frombuffer(ids, np.int64))
+                sides[asks][1].append(np.frombuffer(data).reshape(-1, dims))
+        if sides[True][0] and sides[False][0]:
+            (qi, a), (ci, w) = (tuple(np.concatenate(x) for x in sides[s]) for s in (True, False))
+            for at in range(0, len(qi), 1024):
+                yield best(qi[at : at + 1024], a[at : at + 1024], ci, w)
+
+    return left.union(right).groupBy("block", "part").applyInArrow(lambda t: _whole(run, t), "query bigint, item bigint, similarity double")
+
+
+def _whole(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], table: pa.Table) -> pa.Table:
+    schema = pa.schema([("query", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64())])
+    return pa.Table.from_batches(list(run(iter(table.to_batches()))), schema=schema)
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, item: str, vector: str, k: int, exclude_self: bool = True) -> DataFrame:

@@ -3,10 +3,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from conftest import rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexforge.operators import classify, cluster, compare, lexicon, metrics, terms, tree, validate, vectors
+from lexforge.operators import classify, cluster, compare, lexicon, metrics, spans, terms, tree, validate, vectors
 
 
 def test_lemma_gloss_chain(spark):
@@ -112,6 +114,73 @@ def test_linkage_against_naive():
     assert len(cluster.linkage(v[:1])) == 0
 
 
+def test_core_distance_counts_the_point_itself():
+    d = np.abs(np.subtract.outer(np.array([0.0, 1.0, 3.0, 7.0]), np.array([0.0, 1.0, 3.0, 7.0])))
+    assert cluster.core_distances(d, 1).tolist() == [0, 0, 0, 0]
+    assert cluster.core_distances(d, 2).tolist() == [1, 1, 2, 4]
+    assert cluster.core_distances(d, 3).tolist() == [3, 2, 3, 6]
+    assert cluster.core_distances(d, 9).tolist() == [7, 6, 4, 7]
+
+
+def test_expected_mutual_information():
+    """Against all deals of the labels of one side."""
+    from itertools import permutations
+
+    a, b = [0, 0, 0, 1, 1, 2], (0, 0, 1, 1, 1, 2)
+
+    def mutual(x, y):
+        n = len(x)
+        return sum(c / n * math.log(c * n / (x.count(i) * y.count(j))) for i in set(x) for j in set(y) if (c := sum(p == i and q == j for p, q in zip(x, y, strict=True))))
+
+    deals = [mutual(a, list(p)) for p in permutations(b)]
+    assert math.isclose(metrics._expected_mutual([(3, 1), (2, 1), (1, 1)], [(2, 1), (3, 1), (1, 1)]), sum(deals) / len(deals))
+
+
+def test_nearest_in_groups(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(300, 5))
+    v[200:] = v[:100]  # equal vectors: ties go to the lesser id
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None)], "i bigint, v array<double>").repartition(7)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -9)
+    want = {(q, j) for q in range(300) for j in np.lexsort((np.arange(300), -s[q]))[:6].tolist()}
+    for chunk in (16384, 40):
+        got = vectors._topk(df, df, "i", "v", 6, True, chunk)
+        by = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), "item")
+        assert {(r[0], r[1]) for r in got.withColumn("r", F.row_number().over(by)).filter("r <= 6").collect()} == want
+    assert {(r[0], r[1]) for r in vectors.nearest(df, df, "i", "v", 6).collect()} == want
+    assert vectors.nearest(df.limit(0), df, "i", "v", 6).count() == vectors.nearest(df, df.limit(0), "i", "v", 6).count() == 0
+
+
+def test_form_driven_and_shuffled(spark):
+    data = [(i // 20, ("alpha" if i < 20 else "bcdfgh"[i % 6] * 2) + f"{i % 13:02d}{'kz'[i % 2]}") for i in range(60)]
+    df = spark.createDataFrame(data, "c int, f string")
+    got = {r["c"]: r["form_driven"] for r in metrics.form_driven(df, "c", "f", 15).collect()}
+    assert got[0] and len(got) == 3
+    e = spark.createDataFrame([(i % 3, (np.eye(3)[i % 3] + i / 1000).tolist()) for i in range(30)], "l int, v array<double>")
+    real, shuffled = metrics.silhouette(e, "l", "v", 3).first(), metrics.shuffled_silhouette(e, "l", "v", 3).first()
+    assert real["items"] == shuffled["items"] == 30
+    assert real["silhouette"] > 0.9 > 0.3 > shuffled["silhouette"]
+
+
+def test_factorisation_is_refused_before_it_is_collected(spark):
+    w = spark.createDataFrame([(i, f"t{i}", 1.0) for i in range(30)], "d int, term string, weight double")
+    with pytest.raises(ValueError, match="too large"):
+        terms.nmf_topics(w, "d", 2, documents=20)
+
+
+def test_elements_hold_tokens_and_frames_hold_elements(spark):
+    t = spark.createDataFrame([(1, 1, 0, 3), (1, 2, 5, 9), (1, 3, 11, None)], "s int, token_pos int, start int, end int")
+    e = spark.createDataFrame([(1, 7, 4, 9), (1, 8, 0, 8), (1, 9, None, 3)], "s int, fe_id int, start int, end int")
+    assert rows(spans.contained_tokens(t, e, "s")) == [(1, 7, 2), (1, 8, 1)]
+    f = spark.createDataFrame([("F", ["A", "B"]), ("F", ["C"]), ("G", [])], "frame string, fes array<string>")
+    x = spark.createDataFrame([(1, "F", "A"), (2, "F", "C"), (3, "F", "Z"), (4, "G", "A"), (5, "H", "A"), (6, "F", None)], "id int, frame string, fe string")
+    assert rows(validate.element_violations(x, f).select("id")) == [(3,), (4,)]
+    u = spark.sql("SELECT 'F' AS frame, array(named_struct('lemma', 'Guest', 'pos', 'n', 'gloss', ''), null) AS lexical_units")
+    assert rows(validate.search_units(u, "^gue")) == [("F", "Guest", "n")]
+
+
 def test_density_and_communities():
     rng = np.random.default_rng(4)
     v = np.vstack([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (30, 2)), [[50, 50]]])
@@ -157,7 +226,10 @@ def test_top_component_removal(spark):
 
 def test_names_skip_contained_terms(spark):
     s = spark.createDataFrame([(1, "gift", 3.0), (1, "gift host", 2.0), (1, "hearth", 1.0), (2, "x", 0.0)], "c int, term string, score double")
-    assert rows(terms.name_clusters(s, "c")) == [(1, "gift / hearth"), (2, "(unnamed)")]
+    assert rows(terms.name_clusters(s, "c")) == [(1, "gift, hearth"), (2, "(unnamed)")]
+    many = [(7, f"a{'b' * i}", 100.0 - i) for i in range(60)] + [(7, x, 1.0) for x in ("x", "y", "z")] + [(None, "q", 2.0)]
+    s = spark.createDataFrame(many, "c int, term string, score double")
+    assert rows(terms.name_clusters(s, "c")) == [(7, "a, x, y, z"), (None, "q")]
 
 
 def test_compare_and_validate(spark):
@@ -194,10 +266,13 @@ def test_modularity_bounds(spark):
 
 def test_sample_is_stable(spark):
     df = spark.range(2000)
-    a, b = (metrics.sample_share(df, "id", 0.9, 3).count() for _ in range(2))
+    a, b = (rows(metrics.sample_rows(df, "id", 0.9, 3)) for _ in range(2))
     assert a == b
-    assert 1700 < a < 1900
-    assert metrics.sample_share(df, "id", 0.9, 4).join(metrics.sample_share(df, "id", 0.9, 3), "id").count() < a
+    assert len(a) == 1800
+    other = metrics.sample_rows(df, "id", 0.9, 4)
+    assert other.count() == 1800
+    assert other.join(metrics.sample_rows(df, "id", 0.9, 3), "id").count() < 1800
+    assert metrics.sample_rows(df.limit(0), "id").count() == 0 and metrics.sample_rows(df.limit(1), "id").count() == 0 and metrics.sample_rows(df, "id", 1.0).count() == 2000
     assert df.select(F.max("id")).first()[0] == 1999
 
 
