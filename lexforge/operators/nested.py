@@ -103,6 +103,43 @@ def label_nodes(docs: DataFrame, record_table: str, root_kind: str, *, container
     return docs.select(F.col("doc_id").cast("bigint"), F.col("payload").cast("string")).mapInArrow(run, NODE_SCHEMA)
 
 
+def linked_nodes(docs: DataFrame, record_table: str, root_kind: str, kinds: Mapping[str, tuple[str, ...]], links: Mapping[str, tuple[str, str | None]], *, containers: tuple[str, ...] = (), rename: Mapping[str, str] | None = None, unwrap: str | None = None) -> DataFrame:
+    """record_table, doc_id, pre, post, depth, kind, pos, value, <links>: label_nodes and link_by_interval in one pass over docs.
+
+    kinds: the kinds that come out, with the fields of which the first present is value. links: column -> (ancestor
+    kind, field), the field (its place where None) of the nearest node of that kind whose interval contains the node,
+    as text; null if there is none. Nothing but these columns leaves the pass.
+    """
+    held, names = frozenset(containers), dict(rename or {})
+    above = sorted({k for k, _ in links.values()})
+    given = [(above.index(k), [f for kk, f in links.values() if kk == k].index(f)) for k, f in links.values()]
+    wanted = [[f for kk, f in links.values() if kk == k] for k in above]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([*list(_ARROW)[:-1], pa.field("value", pa.string()), *[pa.field(c, pa.string()) for c in links]])
+        for batch in batches:
+            cols: list[list] = [[] for _ in schema]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                stacks: list[list[tuple]] = [[] for _ in above]
+                for pre, post, depth, kind, pos, members in label_tree(parse_whole(text), root_kind, held, names, unwrap):
+                    for stack in stacks:
+                        while stack and stack[-1][0] < pre:
+                            stack.pop()
+                    if kind in kinds:
+                        has = dict(members)
+                        value = next((has[f] for f in kinds[kind] if f in has), None)
+                        found = [stacks[n][-1][1][m] if stacks[n] else None for n, m in given]
+                        for c, v in zip(cols, (record_table, doc, pre, post, depth, kind, pos, value, *found), strict=True):
+                            c.append(v)
+                    if kind in above:
+                        n, has = above.index(kind), dict(members)
+                        stacks[n].append((post, [str(pos) if f is None else has.get(f) for f in wanted[n]]))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    out = NODE_SCHEMA.split(", fields")[0] + ", value string" + "".join(f", {c} string" for c in links)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("payload").cast("string")).mapInArrow(run, out)
+
+
 def link_by_interval(nodes: DataFrame, ancestors: Mapping[str, Mapping[str, Column]], in_order: bool = False) -> DataFrame:
     """nodes plus, per ancestor kind, the named columns of the nearest node of that kind that contains it (null if none).
 

@@ -18,11 +18,8 @@ QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "＂": "＂"}
 BRACKETS = {"(": ")", "[": "]", "{": "}"}
 CLOSING = {*QUOTES.values(), *BRACKETS.values()}
 
-_MARKS = "".join({*QUOTES, *QUOTES.values(), *BRACKETS, *BRACKETS.values()}) + "\\"
-# What Python's strip takes for white space, as a character class of Java.
-_SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-
 _D, _S = re.escape(DELIMITERS), re.escape("".join({*QUOTES, *QUOTES.values(), *BRACKETS, *BRACKETS.values()}))
+_MARKED, _PLAIN = re.compile(rf"[\\{_S}]"), re.compile(f"[{_D}]")
 _LEXEME = re.compile(rf'\\u[0-9a-fA-F]{{4}}|\\.|[{_D}]|[{_S}]|[^\\{_D}{_S}]+|\\', re.S)
 _ESCAPED = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -44,10 +41,13 @@ def split_packed(text: str | None) -> list[str]:
     give no values.
 
     Whether a quote closes is known before the pass (see _closing). Brackets may be found unclosed at its end; they
-    are ordinary then and the pass is made again, until none is left: each time there are fewer.
+    are ordinary then and the pass is made again, until none is left: each time there are fewer. A string without any
+    mark needs no states: it is cut at its delimiters.
     """
     if not text or text.isspace():
         return []
+    if not _MARKED.search(text):
+        return [v for x in _PLAIN.split(text) if (v := x.strip())]
     lex = _LEXEME.findall(text)
     literal: set[int] = set()
     while True:
@@ -164,21 +164,11 @@ def split_packed_udf(texts: pa.Array) -> pa.Array:
     return pa.array([None if x is None else split_packed(x) for x in texts.to_pylist()], pa.list_(pa.string()))
 
 
-def split_plain(text: Column) -> Column:
-    """The values of a string without any quote, bracket or backslash, in the JVM; equal to split_packed on these."""
-    parts = F.split(text, f"[{re.escape(DELIMITERS)}]")
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, f"^[{_SPACE}]+|[{_SPACE}]+$", "")), lambda x: x != "")
-
-
 def explode_packed(df: DataFrame, id_col: str, field: Column | str, label: str) -> DataFrame:
     """field STRING, record_id, value_pos INT (from 1), value STRING: one row per value of the packed column.
 
     One row of an id counts (see one_per_id). Null, empty and blank strings give no rows; repeated values are kept.
-    Strings without marks are split in the JVM; only the others go through the tokenizer's Python.
     """
     value = F.col(field) if isinstance(field, str) else field
     rows = one_per_id(df, id_col, value.cast("string").alias("_packed")).filter(F.length(F.trim("_packed")) > 0)
-    marked = F.col("_packed").rlike(f"[{re.escape(_MARKS)}]")
-    split = rows.select(F.col(id_col).cast("bigint").alias("record_id"), "_packed", split_packed_udf(F.when(marked, F.col("_packed"))).alias("_v"))
-    values = F.posexplode(F.coalesce("_v", split_plain(F.col("_packed")))).alias("_p", "value")
-    return split.select("record_id", values).select(F.lit(label).alias("field"), "record_id", (F.col("_p") + 1).cast("int").alias("value_pos"), "value")
+    return rows.select(F.lit(label).alias("field"), F.col(id_col).cast("bigint").alias("record_id"), F.posexplode(split_packed_udf("_packed")).alias("_p", "value")).select("field", "record_id", (F.col("_p") + 1).cast("int").alias("value_pos"), "value")

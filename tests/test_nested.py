@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 from conftest import DATA, needs_data, rows
 from pyspark.sql import functions as F
 
-from lexforge.operators.nested import label_nodes, label_tree, link_by_interval, node_table, parse_whole
+from lexforge.operators.nested import label_nodes, label_tree, link_by_interval, linked_nodes, node_table, parse_whole
 from lexforge.plans.problems import CONTAINERS, RENAME, p2_annotation_sets, p2_found
 
 
@@ -54,6 +54,11 @@ def test_kinds_inside_their_own_kind(spark):
         linked = link_by_interval(nodes, above, in_order)
         assert rows(linked.filter("kind = 'leaf'").select("doc_id", F.col("fields").getItem("v"), "in_sub")) == want
         assert rows(linked.filter("fields['name'] = 'B' AND doc_id = 0").select("in_sub")) == [("A",)]
+    one = linked_nodes(docs, "t", "root", {"leaf": ("v",), "sub": ("name",)}, {"in_sub": ("sub", "name"), "at": ("sub", None), "top": ("root", None)})
+    assert rows(one.filter("kind = 'leaf'").select("doc_id", "value", "in_sub")) == want
+    both = link_by_interval(n, {"sub": {"in_sub": F.col("fields").getItem("name"), "at": F.col("pos").cast("string")}, "root": {"top": F.col("pos").cast("string")}}).filter("kind <> 'root'")
+    keys = ["doc_id", "pre", "post", "depth", "kind", "pos"]
+    assert rows(one.select(*keys, "value", "in_sub", "at", "top")) == rows(both.select(*keys, F.coalesce(F.col("fields").getItem("v"), F.col("fields").getItem("name")), "in_sub", "at", "top"))
 
 
 def brute(d: str) -> list[tuple]:
