@@ -377,10 +377,11 @@ def bisecting_kmeans(df: DataFrame, item: str, vector: str, k: int, seed: int =
 
 
 def relabel_by_size(df: DataFrame, label: str) -> DataFrame:
-    """df with label renumbered from 0 by descending size, ties by the old label; noise stays -1."""
-    size = df.filter(F.col(label) != -1).groupBy(label).agg(F.count("*").alias("n"))
+    """df with label renumbered from 0 by descending size, ties by the old label; noise stays -1, null stays null."""
+    noise = F.col(label).cast("string") == "-1"
+    size = df.filter(~noise).groupBy(label).agg(F.count("*").alias("n"))
     ranks = ranked(size, F.desc("n"), F.col(label)).select(label, (F.col("rank") - 1).cast("int").alias("_new"))
-    return df.join(ranks, label, "left").withColumn(label, F.coalesce("_new", F.lit(-1))).drop("_new")
+    return df.join(ranks, label, "left").withColumn(label, F.when(F.col(label).isNotNull(), F.coalesce("_new", F.lit(-1)))).drop("_new")
 
 
 def louvain(edges: list[tuple[int, int, float]], resolution: float = 3.0, seed: int = 42) -> dict[int, int]:

@@ -36,11 +36,14 @@ def contained_tokens(tokens: DataFrame, elements: DataFrame, key: str) -> DataFr
     return t.join(e, key).filter("ts >= start AND te <= end").select(key, "fe_id", "token_pos")
 
 
-def rank_passages(tokens: DataFrame, key: str, lemma: str, wanted: DataFrame, top: int = 15) -> DataFrame:
-    """key, n_lemmas, n_words of the passages with at least two wanted lemmas: most lemmas, then fewest words (L3)."""
-    w = wanted.select(F.col("lemma").alias(lemma), F.lit(1).alias("_w")).distinct()
-    rows = tokens.join(w, lemma, "left").groupBy(key).agg(F.countDistinct(F.when(F.col("_w") == 1, F.col(lemma))).alias("n_lemmas"), F.count("*").alias("n_words"))
-    return rows.filter("n_lemmas >= 2").orderBy(F.desc("n_lemmas"), "n_words", key).limit(top)
+def rank_passages(tokens: DataFrame, key: str, lemma: str, wanted: DataFrame, by: str, top: int = 15) -> DataFrame:
+    """by, key, n_lemmas, n_words: for each list of wanted lemmas (by, lemma) the passages with at least two of them:
+    most lemmas, then fewest words, the first `top` (L3)."""
+    w = wanted.filter(F.col("lemma").isNotNull()).select(by, F.col("lemma").alias(lemma)).distinct()
+    n = tokens.select(key, lemma).distinct().join(w, lemma).groupBy(by, key).agg(F.count("*").alias("n_lemmas")).filter("n_lemmas >= 2")
+    words = tokens.groupBy(key).agg(F.count("*").alias("n_words"))
+    order = Window.partitionBy(by).orderBy(F.desc("n_lemmas"), "n_words", key)
+    return n.join(words, key).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top).select(by, key, "n_lemmas", "n_words")
 
 
 def passage_sentences(tokens: DataFrame, passages: DataFrame) -> DataFrame:

@@ -101,4 +101,4 @@ def run_comparison(a: DataFrame, b: DataFrame, equivalents: dict[str, str] | Non
 def candidate_passages(tokens: DataFrame, experiment: DataFrame, top: int = 15) -> DataFrame:
     """The passages with most of the experiment's lemmas; both sides compared without accents and numbers."""
     wanted = experiment.select(tx.bare(F.col("lemma")).alias("lemma")).distinct()
-    return spans.rank_passages(tokens.withColumn("_k", tx.bare(F.col("lemma"))), "passage_id", "_k", wanted, top)
+    return spans.rank_passages(tokens.withColumn("_k", tx.bare(F.col("lemma"))), "passage_id", "_k", wanted.withColumn("_by", F.lit(1)), "_by", top).drop("_by")

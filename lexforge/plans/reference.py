@@ -18,7 +18,6 @@ DIMS = 64
 # A stop list of function lemmas, and seed words of three categories.
 STOPS = ("ὁ", "ὅς", "δέ", "καί", "τε", "μέν", "γάρ", "ἀλλά", "ἐν", "ἐπί", "παρά", "οὐ", "ἐγώ", "αὐτός", "τις")
 SEEDS = {"hospitality": ["guest", "host", "hearth", "gift", "banquet"], "warfare": ["spear", "shield", "siege", "battle"], "seafaring": ["oar", "mast", "rudder", "helmsman", "harbor"]}
-CLUSTER_ROWS = 2000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,11 +129,12 @@ def nearest_centroids(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"SELECT e.vec_id, p.label, round(max(list_dot_product(e.v, p.v)), 6) AS score FROM {_E} e CROSS JOIN (SELECT label, v FROM {_E} WHERE vec_id < 50) p GROUP BY e.vec_id, p.label")
+@query(f"SELECT e.vec_id, p.label, round(max(list_dot_product(e.v, p.c)), 6) AS score FROM {_E} e CROSS JOIN {_CEN} p GROUP BY e.vec_id, p.label")
 def prompt_max_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """The mean vectors of the labels are the prompts."""
     e = emb(spark, d)
-    prompts = e.filter("vec_id < 50").select("label", F.col("embedding").alias("p"))  # fifty prompts, a fixed number
-    return vectors.max_similarity(e.select("vec_id", "embedding"), "vec_id", "embedding", prompts, "label", "p").withColumn("score", F.round("score", 6))
+    prompts = vectors.centroids(e, ["label"], "embedding", DIMS, normalise=False)
+    return vectors.max_similarity(e.select("vec_id", "embedding"), "vec_id", "embedding", prompts, "label", "centroid").withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT label, count(*) // {DIMS} AS n, round(sqrt(sum(m * m)), 6) AS length FROM (SELECT label, i, sum(x * w) / sum(w) AS m, count(*) AS c FROM (SELECT *, 1 + vec_id % 5 AS w FROM {_D}) GROUP BY label, i), (SELECT 1) GROUP BY label".replace(f"count(*) // {DIMS} AS n", "CAST(max(c) AS BIGINT) AS n"))
@@ -208,7 +208,14 @@ def decoded_tokens(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("work", "book", "pos", "gcase", "number").agg(F.count("*").alias("n"), F.max("line").alias("last_line"))
 
 
-@query()
+def _morphology_sql() -> str:
+    at = lambda i: "CASE substr(p, %d, 1) %s END" % (i + 1, " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.MORPHOLOGY[i].items()))
+    part, verb, other = (f"concat_ws(' ', {', '.join(at(i) for i in o)})" for o in ((3, 5, 4, 7, 2, 6), (3, 5, 4, 1, 2), (7, 2, 6, 8)))
+    name = f"CASE WHEN substr(p, 1, 1) NOT IN ('n', 'a') THEN {at(0)} END"
+    return f"SELECT postag, count(*) AS n, CASE WHEN coalesce(postag, '') = '' THEN '' WHEN substr(p, 1, 1) IN ('v', 't') THEN CASE WHEN substr(p, 5, 1) = 'p' THEN {part} ELSE {verb} END ELSE concat_ws(' ', {name}, nullif({other}, '')) END AS name FROM (SELECT postag, rpad(coalesce(postag, ''), 9, '-') AS p FROM {_TOK}) GROUP BY postag, p"
+
+
+@query(_morphology_sql())
 def morphology_names(spark: SparkSession, d: str) -> DataFrame:
     return tokens(spark, d).groupBy("postag").agg(F.count("*").alias("n")).withColumn("name", tx.morphology(F.col("postag")))
 
@@ -262,7 +269,7 @@ def class_tfidf_scores(spark: SparkSession, d: str) -> DataFrame:
     return terms.class_tfidf(table(spark, d, "documents"), "source", "text").withColumn("score", F.round("score", 8))
 
 
-@query()
+@query(f"WITH {_CT}, l AS (SELECT source, list(term ORDER BY round(score, 12) DESC, term) AS t FROM sc WHERE score > 0 GROUP BY source) SELECT source, coalesce(nullif(array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(t, lambda x: [x])), lambda acc, x: CASE WHEN len(acc) < 4 AND len(list_filter(acc, lambda y: contains(y, x[1]) OR contains(x[1], y))) = 0 THEN list_concat(acc, x) ELSE acc END), ', '), ''), '(unnamed)') AS name FROM (SELECT DISTINCT source FROM sc) LEFT JOIN l USING (source)")
 def cluster_names(spark: SparkSession, d: str) -> DataFrame:
     return terms.name_clusters(terms.class_tfidf(table(spark, d, "documents"), "source", "text"), "source")
 
@@ -337,9 +344,16 @@ def adjusted_rand_index(spark: SparkSession, d: str) -> DataFrame:
     return metrics.adjusted_rand(lf, "A_primary", "B_primary").withColumn("ari", F.round("ari", 6))
 
 
-@query()
+def _ami_sql(pairs: str) -> str:
+    """SQL of the adjusted mutual information of a query with columns a and b."""
+    h = lambda t: f"(SELECT -sum(n / w * ln(n / w)) FROM {t}, tot)"
+    g = "lgamma(x.s + 1) + lgamma(y.s + 1) + lgamma(w - x.s + 1) + lgamma(w - y.s + 1) - lgamma(w + 1) - lgamma(v + 1) - lgamma(x.s - v + 1) - lgamma(y.s - v + 1) - lgamma(w - x.s - y.s + v + 1)"
+    return f"WITH c AS (SELECT a, b, count(*) AS n FROM ({pairs}) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2), ra AS (SELECT a, CAST(sum(n) AS DOUBLE) AS n FROM c GROUP BY 1), rb AS (SELECT b, CAST(sum(n) AS DOUBLE) AS n FROM c GROUP BY 1), tot AS (SELECT CAST(sum(n) AS DOUBLE) AS w FROM c), sa AS (SELECT n AS s, count(*) AS m FROM ra GROUP BY 1), sb AS (SELECT n AS s, count(*) AS m FROM rb GROUP BY 1), mi AS (SELECT sum(c.n / w * ln(c.n * w / (ra.n * rb.n))) AS mi FROM c JOIN ra USING (a) JOIN rb USING (b), tot), e AS (SELECT m, s, s2, w, unnest(range(CAST(greatest(1, s + s2 - w) AS BIGINT), CAST(least(s, s2) AS BIGINT) + 1)) AS v FROM (SELECT x.m * y.m AS m, x.s, y.s AS s2, w FROM sa x, sb y, tot)), emi AS (SELECT sum(m * v / w * ln(w * v / (s * s2)) * exp({g.replace('x.s', 's').replace('y.s', 's2')})) AS emi FROM e) SELECT CAST(w AS BIGINT) AS items, round(mi, 6) AS mi, round((mi - emi) / (({h('ra')} + {h('rb')}) / 2 - emi), 5) AS ami FROM mi, emi, tot"
+
+
+@query(_ami_sql(f"SELECT pos AS a, lemma_group AS b FROM {_LEM}"))
 def adjusted_mutual_info(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.adjusted_mutual_information(lemmas(spark, d), "pos", "lemma_group")
+    return metrics.adjusted_mutual_information(lemmas(spark, d), "pos", "lemma_group").withColumns({"mi": F.round("mi", 6), "ami": F.round("ami", 5)})
 
 
 @query(f"SELECT count(*) AS items, CAST(count_if(l = -1) AS BIGINT) AS noise, round(count_if(l = -1) / count(*), 6) AS noise_share, round(sum(CASE WHEN l = -1 THEN w ELSE 0 END) / sum(w), 6) AS weight_share FROM (SELECT CASE WHEN lsj_glosses IS NULL THEN -1 ELSE 0 END AS l, coalesce(homer_count, 0) AS w FROM {_LEM})")
@@ -353,6 +367,16 @@ def frequency_deciles(spark: SparkSession, d: str) -> DataFrame:
     return metrics.quantile_buckets(lemmas(spark, d), "homer_count", 10).groupBy("bucket").agg(F.count("*").alias("n"), F.min("homer_count").alias("low"), F.max("homer_count").alias("high"))
 
 
+_DECILE = f"(WITH q AS (SELECT list_sort(list_distinct(quantile_cont(homer_count, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS e FROM {_LEM}) SELECT *, CASE WHEN homer_count IS NOT NULL THEN len(list_filter(e[2:len(e) - 1], lambda x: x < homer_count)) END AS bucket FROM {_LEM}, q)"
+
+
+@query(_ami_sql(f"SELECT lemma_group AS a, bucket AS b FROM {_DECILE}"))
+def frequency_confound(spark: SparkSession, d: str) -> DataFrame:
+    """How much groups follow the decile of frequency (M7)."""
+    rows = metrics.quantile_buckets(lemmas(spark, d), "homer_count", 10)
+    return metrics.adjusted_mutual_information(rows, "lemma_group", "bucket").withColumns({"mi": F.round("mi", 6), "ami": F.round("ami", 5)})
+
+
 @query(f"SELECT pos, count(homer_count) AS n, round(avg(homer_count), 6) AS mean, median(homer_count) AS median, quantile_cont(homer_count, 0.1) AS p10, quantile_cont(homer_count, 0.9) AS p90, round(stddev_pop(homer_count), 6) AS sd FROM {_LEM} GROUP BY pos")
 def frequency_statistics(spark: SparkSession, d: str) -> DataFrame:
     h = "homer_count"
@@ -365,12 +389,23 @@ def affix_shares(spark: SparkSession, d: str) -> DataFrame:
     return metrics.affix_shares(f, "lemma_group", "f").withColumns({"prefix_share": F.round("prefix_share", 6), "suffix_share": F.round("suffix_share", 6)})
 
 
+@query()
+def form_confound(spark: SparkSession, d: str) -> DataFrame:
+    """The groups whose shares of prefixes or suffixes exceed those of random groups of their sizes (M6)."""
+    f = lemmas(spark, d).select("lemma_group", tx.bare_lower(F.col("greek_lemma")).alias("f"))
+    return metrics.form_driven(f.filter("lemma_group IS NOT NULL AND f IS NOT NULL"), "lemma_group", "f")
+
+
+@query()
+def shuffled_silhouette(spark: SparkSession, d: str) -> DataFrame:
+    """The baseline of silhouette_score: the same labels dealt out at random (M1)."""
+    return metrics.shuffled_silhouette(emb(spark, d), "label", "embedding", DIMS)
+
+
 @query(f"WITH z AS (SELECT lemma_group, count(*) AS n FROM {_LEM} WHERE lemma_group IS NOT NULL GROUP BY 1) SELECT lemma_id, CAST(row_number() OVER () * 0 AS INT) + CAST(r - 1 AS INT) AS label FROM {_LEM} l JOIN (SELECT lemma_group, row_number() OVER (ORDER BY n DESC, lemma_group) AS r FROM z) k ON l.lemma_group = k.lemma_group")
 def relabelled_by_size(spark: SparkSession, d: str) -> DataFrame:
-    t = lemmas(spark, d).filter("lemma_group IS NOT NULL")
-    size = t.groupBy("lemma_group").agg(F.count("*").alias("n"))
-    r = size.withColumn("label", (F.row_number().over(Window.orderBy(F.desc("n"), "lemma_group")) - 1).cast("int"))
-    return t.join(r, "lemma_group").select("lemma_id", "label")
+    t = lemmas(spark, d).filter("lemma_group IS NOT NULL").select("lemma_id", F.col("lemma_group").alias("label"))
+    return cluster.relabel_by_size(t, "label")
 
 
 @query()
@@ -435,18 +470,20 @@ def flag_summary(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.flag_summary(assignments(spark, d).select(F.col("greek_lemma").alias("lemma"), F.expr(_FLAG).alias("sense_flag")))
 
 
-@query(f"WITH f AS (SELECT greek_lemma, frame, min({_FLAG}) AS sense_flag FROM {_ASG} WHERE row_id % 3 <> 0 GROUP BY 1, 2), l AS (SELECT DISTINCT greek_lemma, frame FROM {_ASG}) SELECT l.greek_lemma AS lemma, l.frame AS synset_id, coalesce(sense_flag, 'noise') AS sense_flag FROM l LEFT JOIN f ON l.greek_lemma = f.greek_lemma AND l.frame = f.frame")
+@query(f"WITH f AS (SELECT greek_lemma, frame, min({_FLAG}) AS sense_flag FROM {_ASG} WHERE assignment = 'primary' GROUP BY 1, 2), l AS (SELECT DISTINCT greek_lemma, frame FROM {_ASG}) SELECT l.greek_lemma AS lemma, l.frame AS synset_id, coalesce(sense_flag, 'noise') AS sense_flag FROM l LEFT JOIN f ON l.greek_lemma = f.greek_lemma AND l.frame = f.frame")
 def flags_with_default(spark: SparkSession, d: str) -> DataFrame:
-    a = assignments(spark, d).select(F.col("greek_lemma").alias("lemma"), F.col("frame").alias("synset_id"), F.expr(_FLAG).alias("f"), "row_id")
-    flags = a.filter("row_id % 3 <> 0").groupBy("lemma", "synset_id").agg(F.min("f").alias("sense_flag"), F.lit("").alias("reason"))
+    """All pairs of lemma and frame with the flag of their primary assignments."""
+    a = assignments(spark, d).select(F.col("greek_lemma").alias("lemma"), F.col("frame").alias("synset_id"), F.expr(_FLAG).alias("f"), "assignment")
+    flags = a.filter("assignment = 'primary'").groupBy("lemma", "synset_id").agg(F.min("f").alias("sense_flag"), F.lit("").alias("reason"))
     return lexicon.flag_synsets(a.select("lemma", "synset_id").distinct(), flags).drop("reason")
 
 
-@query(f"WITH a AS (SELECT greek_lemma, frame, min({_FLAG}) AS f FROM {_ASG} WHERE row_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT greek_lemma, frame, min({_FLAG}) AS f FROM {_ASG} WHERE row_id % 2 = 1 GROUP BY 1, 2) SELECT a.f AS flag_a, b.f AS flag_b, count(*) AS n FROM a JOIN b ON a.greek_lemma = b.greek_lemma AND a.frame = b.frame GROUP BY 1, 2")
+@query(f"WITH a AS (SELECT greek_lemma, min({_FLAG}) AS f FROM {_ASG} WHERE assignment = 'primary' GROUP BY 1), b AS (SELECT greek_lemma, min({_FLAG}) AS f FROM {_ASG} WHERE assignment <> 'primary' GROUP BY 1) SELECT a.f AS flag_a, b.f AS flag_b, count(*) AS n FROM a JOIN b ON a.greek_lemma = b.greek_lemma GROUP BY 1, 2")
 def flag_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """The flags of primary against those of other assignments of the same lemma."""
     a = assignments(spark, d).withColumn("sense_flag", F.expr(_FLAG))
-    side = lambda k: a.filter(F.col("row_id") % 2 == k).groupBy("greek_lemma", "frame").agg(F.min("sense_flag").alias("sense_flag"))
-    return lexicon.confusion(side(0), side(1), ["greek_lemma", "frame"])
+    side = lambda c: a.filter(c).groupBy("greek_lemma").agg(F.min("sense_flag").alias("sense_flag"))
+    return lexicon.confusion(side("assignment = 'primary'"), side("assignment <> 'primary'"), ["greek_lemma"])
 
 
 @query(f"WITH f AS (SELECT greek_lemma AS lemma, list_distinct(list(frame)) AS s FROM {_ASG} GROUP BY 1), m AS (SELECT lemma_group AS cluster, greek_lemma AS lemma FROM {_LEM} WHERE lemma_group IS NOT NULL), c AS (SELECT cluster, count_if(s IS NOT NULL) / count(*) AS coverage FROM m LEFT JOIN f ON m.lemma = f.lemma GROUP BY 1), v AS (SELECT cluster, field, count(*) AS votes FROM (SELECT cluster, unnest(s) AS field FROM m JOIN f ON m.lemma = f.lemma) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY votes DESC, field) AS r FROM v) SELECT r.cluster, field, votes, round(coverage, 6) AS coverage FROM r JOIN c ON r.cluster = c.cluster WHERE r <= 3 AND votes >= 2")
@@ -496,56 +533,48 @@ def largest_sense(spark: SparkSession, d: str) -> DataFrame:
     return terms.top_k(n, ["greek_lemma"], [F.desc("n"), F.col("word_sense")], 1).drop("rank")
 
 
-@query(f"SELECT lemma, arg_max(p, n * 1000000 - ascii(p)) AS pos FROM (SELECT lemma, substr(postag, 1, 1) AS p, count(*) AS n FROM {_TOK} WHERE lemma <> '' AND postag <> '' GROUP BY 1, 2) GROUP BY lemma")
+@query(f"SELECT lemma, p AS pos FROM (SELECT lemma, substr(postag, 1, 1) AS p, row_number() OVER (PARTITION BY lemma ORDER BY count(*) DESC, min((passage_id, token_pos))) AS r FROM {_TOK} WHERE lemma <> '' AND postag <> '' GROUP BY 1, 2) WHERE r = 1")
 def majority_pos(spark: SparkSession, d: str) -> DataFrame:
-    n = tokens(spark, d).filter("lemma <> '' AND postag <> ''").groupBy("lemma", F.substring("postag", 1, 1).alias("p")).agg(F.count("*").alias("n"))
-    return n.groupBy("lemma").agg(F.max_by("p", F.col("n") * 1000000 - F.ascii("p")).alias("pos"))
-
-
-_W = "(SELECT DISTINCT lemma FROM experiment WHERE slug = (SELECT min(slug) FROM experiment))"
-
-
-@query(f"WITH t AS {_TOK}, o AS (SELECT DISTINCT passage_id, lemma FROM t WHERE lemma IN (SELECT lemma FROM {_W})), c AS (SELECT o.lemma, t.lemma AS context, count(*) AS n FROM o JOIN t ON o.passage_id = t.passage_id WHERE t.lemma <> o.lemma AND t.lemma <> '' AND t.lemma NOT IN ({_STOPS}) GROUP BY 1, 2) SELECT lemma, context, n, CAST(row_number() OVER (PARTITION BY lemma ORDER BY n DESC, context) AS BIGINT) AS rank FROM c QUALIFY rank <= 12")
-def context_lemmas(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "experiment")
-    wanted = x.filter(F.col("slug") == x.agg(F.min("slug")).scalar()).select("lemma").distinct()
-    t = tokens(spark, d).select("passage_id", "lemma").filter("lemma <> ''")
-    o = t.join(wanted, "lemma", "left_semi").distinct()
-    c = o.withColumnRenamed("lemma", "l").join(t.withColumnRenamed("lemma", "context"), "passage_id").filter((F.col("context") != F.col("l")) & ~F.col("context").isin(*STOPS))
-    n = c.groupBy(F.col("l").alias("lemma"), "context").agg(F.count("*").alias("n"))
-    return terms.top_k(n, ["lemma"], [F.desc("n"), F.col("context")], 12).withColumn("rank", F.col("rank").cast("bigint"))
+    """The most frequent part of speech of each lemma; of equally frequent ones the first seen."""
+    n = tokens(spark, d).filter("lemma <> '' AND postag <> ''").groupBy("lemma", F.substring("postag", 1, 1).alias("p")).agg(F.count("*").alias("n"), F.min(F.struct("passage_id", "token_pos")).alias("at"))
+    return n.groupBy("lemma").agg(F.min_by("p", F.struct(-F.col("n"), "at")).alias("pos"))
 
 
 @query(f"WITH t AS {_TOK}, c AS (SELECT passage_id, lemma, count(*) AS k FROM t WHERE lemma <> '' AND lemma NOT IN ({_STOPS}) GROUP BY 1, 2), n AS (SELECT a.lemma, b.lemma AS context, CAST(sum(a.k * b.k) AS BIGINT) AS n FROM c a JOIN c b ON a.passage_id = b.passage_id WHERE a.lemma <> b.lemma GROUP BY 1, 2) SELECT lemma, context, n, CAST(row_number() OVER (PARTITION BY lemma ORDER BY n DESC, context) AS BIGINT) AS rank FROM n QUALIFY rank <= 12")
-def context_lemmas_all(spark: SparkSession, d: str) -> DataFrame:
-    """A11 for every lemma of the passages; context_lemmas is the part of one experiment, without repeats."""
+def context_lemmas(spark: SparkSession, d: str) -> DataFrame:
+    """The lemmas around every lemma of the passages."""
     return terms.context_lemmas(tokens(spark, d), "passage_id", "lemma", STOPS).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # --- comparison and validation
 
 
-def _run_sql(k: int) -> str:
-    return f"(SELECT greek_lemma, coalesce(arg_min(frame, row_id) FILTER (assignment = 'primary'), '') AS prim, list_sort(list_distinct(list(frame) FILTER (frame IS NOT NULL))) AS f FROM {_ASG} WHERE row_id % 2 = {k} AND greek_lemma IS NOT NULL GROUP BY 1)"
+def _run_sql(r: str) -> str:
+    return f"(SELECT greek_lemma, coalesce(arg_min(frame, row_id) FILTER (prim), '') AS prim, list_sort(list_distinct(list(frame) FILTER (frame IS NOT NULL))) AS f FROM (SELECT row_id, greek_lemma, {r}_primary AS frame, true AS prim FROM {_LF} UNION ALL SELECT row_id, greek_lemma, unnest(string_split({r}_frames, '; ')), false FROM {_LF}) WHERE greek_lemma IS NOT NULL GROUP BY 1)"
+
+
+def _run(spark: SparkSession, d: str, r: str) -> DataFrame:
+    """Run A or B of lemma_frames as assignments."""
+    lf = one_per_id(table(spark, d, "lemma_frames"), "row_id")
+    first = lf.select("row_id", "greek_lemma", F.col(f"{r}_primary").alias("frame"), F.lit("primary").alias("assignment"))
+    return first.union(lf.select("row_id", "greek_lemma", F.explode(F.split(f"{r}_frames", "; ")), F.lit("secondary")))
 
 
-@query(f"SELECT coalesce(a.greek_lemma, b.greek_lemma) AS greek_lemma, coalesce(a.prim, '') AS a_primary, coalesce(b.prim, '') AS b_primary, coalesce(a.prim, '') = coalesce(b.prim, '') AS same_primary, len(list_filter(coalesce(a.f, []), lambda x: NOT list_contains(coalesce(b.f, []), x))) AS only_a, len(list_filter(coalesce(b.f, []), lambda x: NOT list_contains(coalesce(a.f, []), x))) AS only_b, round(CASE WHEN len(coalesce(a.f, [])) + len(coalesce(b.f, [])) = 0 THEN 1.0 ELSE len(list_intersect(coalesce(a.f, []), coalesce(b.f, []))) / len(list_distinct(list_concat(coalesce(a.f, []), coalesce(b.f, [])))) END, 6) AS overlap FROM {_run_sql(0)} a FULL JOIN {_run_sql(1)} b ON a.greek_lemma = b.greek_lemma")
+@query(f"SELECT coalesce(a.greek_lemma, b.greek_lemma) AS greek_lemma, coalesce(a.prim, '') AS a_primary, coalesce(b.prim, '') AS b_primary, coalesce(a.prim, '') = coalesce(b.prim, '') AS same_primary, array_to_string(list_filter(coalesce(a.f, []), lambda x: NOT list_contains(coalesce(b.f, []), x)), '; ') AS only_a, array_to_string(list_filter(coalesce(b.f, []), lambda x: NOT list_contains(coalesce(a.f, []), x)), '; ') AS only_b, round(CASE WHEN len(coalesce(a.f, [])) + len(coalesce(b.f, [])) = 0 THEN 1.0 ELSE len(list_intersect(coalesce(a.f, []), coalesce(b.f, []))) / len(list_distinct(list_concat(coalesce(a.f, []), coalesce(b.f, [])))) END, 6) AS overlap FROM {_run_sql('A')} a FULL JOIN {_run_sql('B')} b ON a.greek_lemma = b.greek_lemma")
 def compared_runs(spark: SparkSession, d: str) -> DataFrame:
-    a = assignments(spark, d)
-    c = compare.compare_runs(a.filter("row_id % 2 = 0"), a.filter("row_id % 2 = 1"))
-    n = lambda x: F.when(F.col(x) == "", 0).otherwise(F.size(F.split(x, "; "))).cast("bigint")
-    return c.withColumns({"only_a": n("only_a"), "only_b": n("only_b"), "overlap": F.round("overlap", 6)})
+    return compare.compare_runs(_run(spark, d, "A"), _run(spark, d, "B")).withColumn("overlap", F.round("overlap", 6))
 
 
-_T = f"(SELECT sentence_id, s, e, k, min(frame) AS frame, list_sort(list_distinct(list(fe) FILTER (fe IS NOT NULL))) AS fes FROM (SELECT sentence_id, a.target.start AS s, a.target['end'] AS e, set_pos % 2 AS k, a.frameName AS frame, unnest(CASE WHEN len(a.FEs) > 0 THEN list_transform(a.FEs, lambda x: x.name) ELSE [NULL] END) AS fe FROM {_SET} WHERE a.target.start IS NOT NULL AND a.target['end'] IS NOT NULL) GROUP BY 1, 2, 3, 4)"
+# existing frames are one run, the others another
+_T = f"(SELECT sentence_id, s, e, k, min(frame) AS frame, list_sort(list_distinct(list(fe) FILTER (fe IS NOT NULL))) AS fes FROM (SELECT sentence_id, a.target.start AS s, a.target['end'] AS e, coalesce(a.frameStatus = 'existing', false) AS k, a.frameName AS frame, unnest(CASE WHEN len(a.FEs) > 0 THEN list_transform(a.FEs, lambda x: x.name) ELSE [NULL] END) AS fe FROM {_SET} WHERE a.target.start IS NOT NULL AND a.target['end'] IS NOT NULL) GROUP BY 1, 2, 3, 4)"
 
 
-@query(f"WITH t AS {_T}, a AS (SELECT * FROM t WHERE k = 1), b AS (SELECT * FROM t WHERE k = 0) SELECT coalesce(a.sentence_id, b.sentence_id) AS sentence_id, coalesce(a.s, b.s) AS s, coalesce(a.e, b.e) AS e, coalesce(a.frame, '–') AS a_frame, coalesce(b.frame, '–') AS b_frame, coalesce(a.frame = b.frame, false) AS same_frame, coalesce(a.frame = b.frame, false) AND coalesce(a.fes, []) = coalesce(b.fes, []) AS same_fes FROM a FULL JOIN b ON a.sentence_id = b.sentence_id AND a.s = b.s AND a.e = b.e")
+@query(f"WITH t AS {_T}, a AS (SELECT * FROM t WHERE k), b AS (SELECT * FROM t WHERE NOT k) SELECT coalesce(a.sentence_id, b.sentence_id) AS sentence_id, coalesce(a.s, b.s) AS s, coalesce(a.e, b.e) AS e, coalesce(a.frame, '–') AS a_frame, coalesce(b.frame, '–') AS b_frame, coalesce(a.frame = b.frame, false) AS same_frame, coalesce(a.frame = b.frame, false) AND coalesce(a.fes, []) = coalesce(b.fes, []) AS same_fes FROM a FULL JOIN b ON a.sentence_id = b.sentence_id AND a.s = b.s AND a.e = b.e")
 def compared_targets(spark: SparkSession, d: str) -> DataFrame:
     s = one_per_id(table(spark, d, "odyssey_7_189_framenet"), "sentence_id", "annotationSets").select("sentence_id", F.posexplode("annotationSets").alias("i", "a")).filter("a.target.start IS NOT NULL AND a.target.end IS NOT NULL")
-    t = s.select("sentence_id", F.col("a.target.start").alias("s"), F.col("a.target.end").alias("e"), ((F.col("i") + 1) % 2).alias("k"), F.col("a.frameName").alias("frame"), F.explode_outer("a.FEs.name").alias("fe"))
+    t = s.select("sentence_id", F.col("a.target.start").alias("s"), F.col("a.target.end").alias("e"), F.coalesce(F.col("a.frameStatus") == "existing", F.lit(False)).alias("k"), F.col("a.frameName").alias("frame"), F.explode_outer("a.FEs.name").alias("fe"))
     g = t.groupBy("sentence_id", "s", "e", "k").agg(F.min("frame").alias("frame"), F.array_sort(F.collect_set("fe")).alias("fes"))
-    return compare.compare_targets(g.filter("k = 1"), g.filter("k = 0"), ["sentence_id", "s", "e"])
+    return compare.compare_targets(g.filter("k"), g.filter("NOT k"), ["sentence_id", "s", "e"])
 
 
 @query("WITH x AS (SELECT DISTINCT lemma, slug FROM experiment WHERE lemma IS NOT NULL AND slug IS NOT NULL) SELECT a.slug AS slug_a, b.slug AS slug_b, count(*) AS shared FROM x a JOIN x b ON a.lemma = b.lemma AND a.slug < b.slug GROUP BY 1, 2")
@@ -570,18 +599,42 @@ def frame_set_overlap(spark: SparkSession, d: str) -> DataFrame:
     return lf.select("row_id", F.round(tx.jaccard(F.split("A_frames", "; "), F.split("B_frames", "; ")), 6).alias("overlap"))
 
 
-@query(f"SELECT sentence_id, CAST(set_pos AS BIGINT) AS set_pos, kind, CAST(item_pos AS BIGINT) AS item_pos FROM {_SPAN} WHERE s IS NOT NULL AND e IS NOT NULL AND NOT coalesce(substr(text, s + 1, e - s + 1) = span_text, false)")
+_PLANTED = "CASE WHEN kind = 'target' THEN s + 1 ELSE s END"
+
+
+@query(f"SELECT sentence_id, CAST(set_pos AS BIGINT) AS set_pos, kind, CAST(item_pos AS BIGINT) AS item_pos FROM {_SPAN} WHERE s IS NOT NULL AND e IS NOT NULL AND NOT coalesce(substr(text, {_PLANTED} + 1, e - ({_PLANTED}) + 1) = span_text, false)")
 def span_violations(spark: SparkSession, d: str) -> DataFrame:
-    return validate.span_violations(spans_of(spark, d)).select("sentence_id", F.col("set_pos").cast("bigint").alias("set_pos"), "kind", F.col("item_pos").cast("bigint").alias("item_pos"))
+    """The spans of a copy of the table whose targets begin one place late: all targets with both bounds, besides what is broken in the table."""
+    late = spans_of(spark, d).withColumn("start", F.when(F.col("kind") == "target", F.col("start") + 1).otherwise(F.col("start")))
+    return validate.span_violations(late).select("sentence_id", F.col("set_pos").cast("bigint").alias("set_pos"), "kind", F.col("item_pos").cast("bigint").alias("item_pos"))
 
 
-@query(f"WITH r AS (SELECT row_id, frame, list_sort(list_distinct(string_split(coalesce(frame_core_FEs, ''), ', '))) AS c FROM {_ASG} WHERE lower(trim(frame_status)) LIKE 'existing%'), k AS (SELECT frame, arg_min(list_sort(list_distinct(string_split(coalesce(frame_core_FEs, ''), ', '))), row_id) AS c FROM {_ASG} WHERE row_id % 2 = 0 GROUP BY 1) SELECT row_id, r.frame, CASE WHEN k.c IS NULL THEN 'unknown frame' ELSE 'core FEs differ' END AS problem FROM r LEFT JOIN k ON r.frame = k.frame WHERE k.c IS NULL OR k.c <> r.c")
+@query(f"WITH r AS (SELECT row_id, frame, list_sort(list_distinct(string_split(coalesce(frame_core_FEs, ''), ', '))) AS c FROM {_ASG} WHERE lower(trim(frame_status)) LIKE 'existing%'), k AS (SELECT name AS frame, arg_min(list_sort(list_distinct(list_transform(core_FEs, lambda x: x.name))), frame_id) AS c FROM {_PF} WHERE name IS NOT NULL AND len(core_FEs) > 0 GROUP BY 1) SELECT row_id, r.frame, CASE WHEN k.c IS NULL THEN 'unknown frame' ELSE 'core FEs differ' END AS problem FROM r LEFT JOIN k ON r.frame = k.frame WHERE k.c IS NULL OR k.c <> r.c")
 def frame_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The assignments of existing frames against the frames of proposed_frames, the first of each name with core FEs."""
     a = assignments(spark, d).withColumn("core_fes", F.split(F.coalesce("frame_core_FEs", F.lit("")), ", "))
-    known = a.filter("row_id % 2 = 0").groupBy("frame").agg(F.min_by("core_fes", "row_id").alias("core_fes"))
+    known = one_per_id(table(spark, d, "proposed_frames"), "frame_id").filter("name IS NOT NULL AND size(core_FEs) > 0").groupBy(F.col("name").alias("frame")).agg(F.min_by(F.array_compact("core_FEs.name"), "frame_id").alias("core_fes"))
     return validate.frame_violations(a.select("row_id", "frame", F.col("frame_status").alias("status"), "core_fes"), known)
 
 
+_FES = f"(SELECT name AS frame, f.name AS fe FROM (SELECT name, unnest(core_FEs) AS f FROM {_PF} UNION ALL SELECT name, unnest(noncore_FEs) FROM {_PF}))"
+
+
+@query(f"SELECT sentence_id, CAST(set_pos AS BIGINT) AS set_pos, CAST(item_pos AS BIGINT) AS item_pos, frame, name AS fe FROM {_SPAN} WHERE kind = 'FE' AND name IS NOT NULL AND frame IN (SELECT name FROM {_PF}) AND (frame, name) NOT IN (SELECT frame, fe FROM {_FES} WHERE frame IS NOT NULL AND fe IS NOT NULL)")
+def element_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Annotated elements that their frame, where it is a proposed one, doesn't have (V2)."""
+    e = spans_of(spark, d).filter("kind = 'FE'").select("sentence_id", F.col("set_pos").cast("bigint").alias("set_pos"), F.col("item_pos").cast("bigint").alias("item_pos"), "frame", F.col("name").alias("fe"))
+    p = one_per_id(table(spark, d, "proposed_frames"), "frame_id")
+    none = F.array().cast("array<string>")
+    return validate.element_violations(e, p.select(F.col("name").alias("frame"), F.concat(F.coalesce("core_FEs.name", none), F.coalesce("noncore_FEs.name", none)).alias("fes")))
+
+
+@query(f"SELECT name AS frame, u.lemma AS lemma, u.pos AS pos FROM (SELECT name, unnest(lexical_units) AS u FROM {_PF}) WHERE regexp_matches(u.lemma, '^[αἀἁ]')")
+def searched_units(spark: SparkSession, d: str) -> DataFrame:
+    p = one_per_id(table(spark, d, "proposed_frames"), "frame_id")
+    return validate.search_units(p.select(F.col("name").alias("frame"), "lexical_units"), "^[αἀἁ]")
+
+
 @query(f"SELECT DISTINCT greek_lemma FROM {_LF} WHERE greek_lemma IS NOT NULL AND greek_lemma NOT IN (SELECT greek_lemma FROM lemmas WHERE greek_lemma IS NOT NULL)")
 def missing_lemmas(spark: SparkSession, d: str) -> DataFrame:
     return validate.missing(table(spark, d, "lemma_frames"), table(spark, d, "lemmas"), "greek_lemma")
@@ -621,11 +674,19 @@ def first_targets(spark: SparkSession, d: str) -> DataFrame:
     return spans.first_target(t, s.filter("kind = 'target'").withColumn("target_pos", F.col("set_pos").cast("bigint")), "sentence_id")
 
 
-@query(f"SELECT passage_id, n_lemmas, n_words FROM (SELECT passage_id, count(DISTINCT CASE WHEN lemma IN (SELECT lemma FROM {_W}) THEN lemma END) AS n_lemmas, count(*) AS n_words FROM {_TOK} GROUP BY 1) WHERE n_lemmas >= 2 ORDER BY n_lemmas DESC, n_words, passage_id LIMIT 15")
+@query(f"WITH f AS (SELECT * FROM {_SPAN} WHERE s <= e) SELECT a.sentence_id, CAST(b.set_pos * 1000 + b.item_pos AS BIGINT) AS fe_id, CAST(a.set_pos AS BIGINT) AS token_pos FROM f a JOIN f b ON a.sentence_id = b.sentence_id WHERE a.kind = 'target' AND b.kind = 'FE' AND a.s >= b.s AND a.e <= b.e")
+def contained_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Targets that lie wholly inside an element, as tokens do."""
+    s = spans_of(spark, d)
+    t = s.filter("kind = 'target'").withColumn("token_pos", F.col("set_pos").cast("bigint"))
+    e = s.filter("kind = 'FE'").withColumn("fe_id", (F.col("set_pos") * 1000 + F.col("item_pos")).cast("bigint"))
+    return spans.contained_tokens(t, e, "sentence_id")
+
+
+@query(f"SELECT slug, passage_id, n_lemmas, n_words FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY n_lemmas DESC, n_words, passage_id) AS r FROM (SELECT slug, passage_id, count(DISTINCT t.lemma) AS n_lemmas FROM (SELECT DISTINCT slug, lemma FROM experiment) w JOIN {_TOK} t ON w.lemma = t.lemma GROUP BY 1, 2 HAVING count(DISTINCT t.lemma) >= 2) JOIN (SELECT passage_id AS p, count(*) AS n_words FROM {_TOK} GROUP BY 1) ON passage_id = p) WHERE r <= 15")
 def ranked_passages(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "experiment")
-    wanted = x.filter(F.col("slug") == x.agg(F.min("slug")).scalar()).select("lemma").distinct()
-    return spans.rank_passages(tokens(spark, d), "passage_id", "lemma", wanted)
+    """The passages with most lemmas of each experiment (L3)."""
+    return spans.rank_passages(tokens(spark, d), "passage_id", "lemma", table(spark, d, "experiment"), "slug")
 
 
 @query(f"WITH t AS {_TOK}, p AS (SELECT passage_id AS passage, work, cite FROM t WHERE passage_id % 100 = 0) SELECT DISTINCT p.passage, t.work, t.passage_id AS sentence_id FROM p JOIN t ON p.work = t.work AND p.cite = t.cite")
@@ -674,14 +735,16 @@ def verb_profile_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 # --- category search: each vector a sense, five senses an entry
 
-_SC = "(SELECT vec_id // 5 AS entry, vec_id AS sense, c.category, CAST(embedding[c.k] AS DOUBLE) * 4 AS pos, CAST(embedding[c.k + 3] AS DOUBLE) * 4 AS neg FROM embeddings CROSS JOIN (VALUES ('c1', 1), ('c2', 2), ('c3', 3)) c(category, k))"
-_GATE = f"(SELECT entry, category, max(pos) AS pos_score, max(neg) AS neg_score, max(pos - neg) AS margin, bool_or(pos - neg >= 0.06 AND pos >= 0.7) AS base, bool_or(pos - neg >= 0.06 AND pos >= 0.4 AND entry % 2 = 0) AS seed FROM {_SC} GROUP BY 1, 2)"
+# an entry of a sense with label 0, 1 or 2 holds a seed of that category
+_SC = "(SELECT vec_id // 5 AS entry, vec_id AS sense, c.category, label = c.k - 1 AS is_seed, CAST(embedding[c.k] AS DOUBLE) * 4 AS pos, CAST(embedding[c.k + 3] AS DOUBLE) * 4 AS neg FROM embeddings CROSS JOIN (VALUES ('c1', 1), ('c2', 2), ('c3', 3)) c(category, k))"
+_GATE = f"(SELECT entry, category, max(pos) AS pos_score, max(neg) AS neg_score, max(pos - neg) AS margin, bool_or(pos - neg >= 0.06 AND pos >= 0.7) AS base, bool_or(pos - neg >= 0.06 AND pos >= 0.4) AND bool_or(is_seed) AS seed FROM {_SC} GROUP BY 1, 2)"
 
 
 def _gate(spark: SparkSession, d: str) -> DataFrame:
     x = lambda i: F.col("embedding")[i].cast("double") * 4
     e = emb(spark, d).select(F.floor(F.col("vec_id") / 5).alias("entry"), F.col("vec_id").alias("sense"), F.explode(F.array(*[F.struct(F.lit(f"c{k}").alias("category"), x(k - 1).alias("pos"), x(k + 2).alias("neg")) for k in (1, 2, 3)])).alias("s")).select("entry", "sense", "s.*")
-    return classify.sense_gate(e, e.filter("entry % 2 = 0").select("entry", "category"))
+    seeds = emb(spark, d).filter("label BETWEEN 0 AND 2").select(F.floor(F.col("vec_id") / 5).alias("entry"), F.concat(F.lit("c"), (F.col("label") + 1).cast("string")).alias("category")).distinct()
+    return classify.sense_gate(e, seeds)
 
 
 @query(f"SELECT entry, category, round(pos_score, 6) AS pos_score, round(neg_score, 6) AS neg_score, round(margin, 6) AS margin, CASE WHEN base AND seed THEN 'both' WHEN base THEN 'embedding' ELSE 'seed' END AS method FROM {_GATE} WHERE base OR seed")
@@ -704,11 +767,14 @@ def categories_by_entry(spark: SparkSession, d: str) -> DataFrame:
 # --- sinks
 
 
-@query()
+_LIST = f"(SELECT *, dense_rank() OVER (ORDER BY lemma_group) AS cluster, row_number() OVER (PARTITION BY lemma_group ORDER BY homer_count DESC NULLS LAST, lemma_id) AS r FROM {_LEM} WHERE lemma_group IS NOT NULL)"
+
+
+@query(f"SELECT CAST(cluster AS BIGINT) AS cluster, count(*) AS size, 'cluster ' || cluster || ' (' || count(*) || ')' || chr(10) || string_agg('  ' || coalesce(greek_lemma, 'null') || ' (' || coalesce(homer_count, 0) || '): ' || substr(coalesce(lsj_glosses, ''), 1, 90), chr(10) ORDER BY r) AS body FROM {_LIST} GROUP BY cluster")
 def cluster_listing(spark: SparkSession, d: str) -> DataFrame:
     m = lemmas(spark, d).filter("lemma_group IS NOT NULL")
     m = m.withColumn("rank", F.row_number().over(Window.partitionBy("lemma_group").orderBy(F.desc_nulls_last("homer_count"), "lemma_id")))
-    ids = m.select("lemma_group").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("lemma_group")))
+    ids = terms.ranked(m.select("lemma_group").distinct(), F.col("lemma_group")).withColumnRenamed("rank", "cluster")
     return sinks.cluster_listing(m.join(ids, "lemma_group").select("cluster", F.col("greek_lemma").alias("lemma"), F.coalesce("homer_count", F.lit(0)).alias("freq"), F.col("lsj_glosses").alias("gloss"), "rank"))
 
 

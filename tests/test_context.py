@@ -18,4 +18,4 @@ def test_every_lemma_has_rows(spark):
     t = reference.tokens(spark, DATA).filter("lemma <> ''").filter(~reference.F.col("lemma").isin(*reference.STOPS)).select("passage_id", "lemma").distinct()
     other = t.groupBy("passage_id").count().filter("count > 1")
     want = {r["lemma"] for r in t.join(other, "passage_id").select("lemma").distinct().collect()}
-    assert {r["lemma"] for r in reference.context_lemmas_all(spark, DATA).select("lemma").distinct().collect()} == want
+    assert {r["lemma"] for r in reference.context_lemmas(spark, DATA).select("lemma").distinct().collect()} == want
