@@ -104,30 +104,32 @@ def _topic_vectors(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("_s", total).filter("_s > 0").select(F.col("book_id").cast("bigint").alias("record_id"), F.array(*[F.col(c) / F.col("_s") for c in cols]).alias("content"))
 
 
-def _linked(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame, DataFrame]]:
-    """By table: records, classes, links."""
+def _clustered(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame, DataFrame, DataFrame]]:
+    """By table: records, classes, links, clusters."""
     out = {}
     for t, records, link in (("lemmas", _gloss_sets(spark, d), clusters.set_links), ("topic_prevalence_by_book", _topic_vectors(spark, d), clusters.vector_links)):
         classes = cut(clusters.copy_classes(records), "classes")
-        out[t] = records, classes, cut(link(classes), "pairs")
+        links = cut(link(classes), "pairs")
+        out[t] = records, classes, links, clusters.pivot_clusters(classes, links)
     return out
 
 
-def _clustered(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame, DataFrame, DataFrame]]:
-    """By table: records, classes, links, clusters."""
-    return {t: (r, c, l, clusters.pivot_clusters(c, l)) for t, (r, c, l) in _linked(spark, d).items()}
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """record_table, id_a, id_b, apart: all pairs of similar records; apart: linked, but the pivots put them into different clusters."""
+    return _union([clusters.linked_pairs(r, c, clusters.split_by_pivots(l, g)).select(F.lit(t).alias("record_table"), "id_a", "id_b", "apart") for t, (r, c, l, g) in _clustered(spark, d).items()])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _union([clusters.linked_pairs(r, c, l).select(F.lit(t).alias("record_table"), "id_a", "id_b") for t, (r, c, l) in _linked(spark, d).items()])
+    """The pairs inside the clusters and those of linked records that the pivots put apart."""
+    return p4_pairs(spark, d).select("record_table", "id_a", "id_b")
 
 
 def p4_members(spark: SparkSession, d: str) -> DataFrame:
     """One row per record with its cluster (named by the medoid), the cluster's size and the record's closeness to it."""
     out = []
     for t, (r, c, l, g) in _clustered(spark, d).items():
-        m = clusters.medoids(c, g, l)
-        heads = m.filter("place = 1").select("pivot", F.col("class_id").alias("cluster_id"))
+        m = cut(clusters.medoids(c, g, l), "medoids")
+        heads = clusters.typical_members(m, 1).select("pivot", F.col("class_id").alias("cluster_id"))
         rows = r.join(c.select("content", "class_id"), "content").select("record_id", "class_id").join(m, "class_id").join(heads, "pivot")
         out.append(rows.select(F.lit(t).alias("record_table"), "record_id", "cluster_id", "size", "closeness"))
     return _union(out)
@@ -137,10 +139,10 @@ def p4_clusters(spark: SparkSession, d: str, typical: int = 5) -> DataFrame:
     """One row per cluster of two records or more: size, number of different contents, the ids of its most typical members."""
     out = []
     for t, (_, c, l, g) in _clustered(spark, d).items():
-        m = clusters.medoids(c, g, l).filter("size > 1")
-        top = F.array_sort(F.collect_list(F.when(F.col("place") <= typical, F.struct("place", "class_id"))))
-        rows = m.groupBy("pivot").agg(F.first("size").alias("size"), F.count("*").alias("contents"), top.alias("_t"))
-        out.append(rows.select(F.lit(t).alias("record_table"), F.col("_t.class_id")[0].alias("cluster_id"), "size", "contents", F.col("_t.class_id").alias("typical")))
+        m = cut(clusters.medoids(c, g, l).filter("size > 1"), "medoids")
+        top = clusters.typical_members(m, typical).groupBy("pivot").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "class_id"))), lambda x: x["class_id"]).alias("typical"))
+        rows = m.groupBy("pivot").agg(F.first("size").alias("size"), F.count("*").alias("contents")).join(top, "pivot")
+        out.append(rows.select(F.lit(t).alias("record_table"), F.col("typical")[0].alias("cluster_id"), "size", "contents", "typical"))
     return _union(out)
 
 

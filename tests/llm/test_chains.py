@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from conftest import rows
 
-from lexforge.llm.queries import p4_found
+from lexforge.llm.queries import p4_found, p4_pairs
 
 
 def test_chained_pairs_are_all_given(spark, tmp_path):
@@ -14,3 +14,5 @@ def test_chained_pairs_are_all_given(spark, tmp_path):
     kinds = ", ".join(f"topic_{i} double" for i in range(20))
     spark.createDataFrame([], f"book_id bigint, {kinds}").write.parquet(f"{tmp_path}/topic_prevalence_by_book.parquet")
     assert rows(p4_found(spark, str(tmp_path))) == [("lemmas", i, i + 1) for i in range(1, 6)]
+    apart = p4_pairs(spark, str(tmp_path)).filter("apart").count()
+    assert 1 <= apart <= 3

@@ -29,9 +29,10 @@ def test_set_links_against_all_pairs(spark):
             inter = len(set(ca) & set(cb))
             if Fraction(inter, len(set(ca) | set(cb))) >= t:
                 want.add((min(a, b), max(a, b)))
-        got = clusters.set_links(classes, t).select("a", "b").collect()
-        assert len(got) == len(want)
-        assert {tuple(r) for r in got} == want
+        for block in (clusters.BLOCK, 3):
+            got = clusters.set_links(classes, t, block).select("a", "b").collect()
+            assert len(got) == len(want)
+            assert {tuple(r) for r in got} == want
 
 
 def test_vector_links_against_all_pairs(spark):
@@ -40,7 +41,8 @@ def test_vector_links_against_all_pairs(spark):
     v[30:] = v[:30] + rng.uniform(-0.012, 0.012, (30, 6))
     df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "class_id bigint, content array<double>, members bigint")
     want = {(a, b) for a, b in itertools.combinations(range(60), 2) if np.abs(v[a] - v[b]).max() <= 0.01}
-    assert {tuple(r) for r in clusters.vector_links(df).select("a", "b").collect()} == want
+    for block in (clusters.BLOCK, 2):
+        assert rows(clusters.vector_links(df, 0.01, block).select("a", "b")) == sorted(want, key=repr)
     assert want
 
 
@@ -69,7 +71,8 @@ def test_copies_in_full_or_by_their_first(spark):
     star = rows(clusters.member_pairs(df, c, g, links, copies_in_full=2))
     assert star == [(0, 1), (0, 2), (0, 3), (0, 9)]
     m = {r["class_id"]: r for r in clusters.medoids(c, g, links).collect()}
-    assert m[0]["place"] == 1 and m[0]["size"] == 5 and abs(m[0]["closeness"] - (4 + 0.75) / 5) < 1e-9
+    assert rows(clusters.typical_members(clusters.medoids(c, g, links), 1))[0][1] == 0
+    assert m[0]["size"] == 5 and abs(m[0]["closeness"] - (4 + 0.75) / 5) < 1e-9
 
 
 def test_no_links(spark):
