@@ -43,21 +43,26 @@ def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _forms(spark: SparkSession, d: str, values: DataFrame) -> DataFrame:
-    return unify.consistent_forms(values.select("value"), _vocabulary(spark, d))
+    return cut(unify.consistent_forms(values.select("value"), _vocabulary(spark, d)), "forms")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The values that differ from their consistent form, or mix scripts in a way the vocabulary doesn't settle."""
     dirty = _values(spark, d).filter(~unify.is_clean(F.col("value")))
-    forms = _forms(spark, d, dirty).filter("form <> value OR mixed").select("value")
+    forms = _forms(spark, d, dirty).filter("form <> value OR open").select("value")
     return dirty.join(forms, "value", "left_semi").select("field", "record_id", F.col("token_pos").cast("int").alias("token_pos"))
 
 
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Every value of the three fields with its consistent form; open: scripts are mixed and no reading is a known word."""
+    """Every value of the three fields with its consistent form; open: scripts are mixed and no reading is a known word.
+
+    Values that are clean already pass as they are; only the others are shuffled to meet their form.
+    """
     values = _values(spark, d)
     forms = _forms(spark, d, values)
-    return values.join(forms, "value", "left").select("field", "record_id", "token_pos", "value", F.coalesce("form", "value").alias("form"), F.coalesce("mixed", F.lit(False)).alias("open"))
+    clean = unify.is_clean(F.col("value"))
+    same = values.filter(clean).select("field", "record_id", "token_pos", "value", F.col("value").alias("form"), F.lit(False).alias("open"))
+    return same.union(values.filter(~clean).join(forms, "value").select("field", "record_id", "token_pos", "value", "form", "open"))
 
 
 def p1_frame_lemmas(spark: SparkSession, d: str) -> DataFrame:

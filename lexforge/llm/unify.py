@@ -41,10 +41,13 @@ def _script(c: str) -> str:
     return "G" if 0x370 <= o <= 0x3FF or 0x1F00 <= o <= 0x1FFF else "L" if o < 0x2B0 else "X"
 
 
+def scripts_of(word: str) -> set[str]:
+    return {_script(c) for c in unicodedata.normalize("NFD", word)} - {""}
+
+
 def is_mixed(word: str) -> bool:
-    """Whether letters of two scripts meet in the word, or letters that are neither Greek nor Latin."""
-    found = {_script(c) for c in unicodedata.normalize("NFD", word)} - {""}
-    return len(found) > 1 or "X" in found
+    """Whether letters of two scripts meet in the word."""
+    return len(scripts_of(word)) > 1
 
 
 def fold_characters(text: str) -> str:
@@ -104,22 +107,25 @@ def dominant_greek(word: str) -> bool:
     return g >= x
 
 
-_READINGS = [("folded", pa.string()), ("first", pa.string()), ("second", pa.string()), ("odd", pa.bool_())]
+_READINGS = [("folded", pa.string()), ("first", pa.string()), ("second", pa.string()), ("mixed", pa.bool_())]
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, T.BooleanType() if n == "odd" else T.StringType()) for n, _ in _READINGS])))
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, T.BooleanType() if n == "mixed" else T.StringType()) for n, _ in _READINGS])))
 def _readings(values: pa.Array) -> pa.Array:
-    """Per word of a value: its folded form, whether its scripts are mixed, and then its readings, that of the dominant script first."""
+    """Per word of a value: its folded form, whether its scripts are mixed, and then its readings, that of the dominant script first.
+
+    A word wholly in a third script has readings too, as it may be a known word in look-alikes; it isn't mixed."""
     out = []
     for v in values.to_pylist():
         words = []
         for w in fold_characters(v or "").split(" "):
             first = second = None
-            if odd := is_mixed(w):
+            found = scripts_of(w)
+            if len(found) > 1 or "X" in found:
                 first, second = greek_reading(w), latin_reading(w)
                 if not dominant_greek(w):
                     first, second = second, first
-            words.append({"folded": w, "first": first, "second": second, "odd": odd})
+            words.append({"folded": w, "first": first, "second": second, "mixed": len(found) > 1})
         out.append(words)
     return pa.array(out, pa.list_(pa.struct(_READINGS)))
 
@@ -129,15 +135,16 @@ def is_clean(value: Column) -> Column:
 
 
 def consistent_forms(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """value, form, mixed: the consistent form of every distinct value (column value) that the clean pattern doesn't accept.
+    """value, form, open: the consistent form of every distinct value (column value) that the clean pattern doesn't accept.
 
     vocabulary has column word: corpus words; what isn't in the consistent form does no harm, as it equals no reading.
     The readings of mixed words, counted first, are broadcast if few, so the corpus isn't shuffled for them. A word of one script is folded only. In a mixed-script
     word the look-alikes are replaced by letters of the dominant script if the result is in the vocabulary, else by
-    those of the other script if that is. If neither is a known word the dominant script decides alone and mixed is
-    true: the value is surely not in the consistent form, and the form given is the most likely one. A word with a
-    letter that has no look-alike in the other script stays. Null values have no row; a value of only invisible
-    characters has the form ''.
+    those of the other script if that is. If neither is a known word the dominant script decides alone, as every value
+    must come out in a consistent form, and open is true: the form is the most likely one, but no corpus word bears it
+    out. A word wholly in a third script is replaced only by a known word, and isn't open. A word with a letter that has no look-alike in the
+    other script has no reading in that script. Null values have no row; a value of only invisible characters has the
+    form ''.
     """
     dirty = values.filter(F.col("value").isNotNull() & ~is_clean(F.col("value"))).select("value").distinct()
     words = cut(dirty.select("value", F.posexplode(_readings("value")).alias("pos", "w")).select("value", "pos", "w.*"), "words")
@@ -146,13 +153,14 @@ def consistent_forms(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
         known = vocabulary.select("word").join(F.broadcast(readings), "word", "left_semi").distinct()
     else:
         known = vocabulary.select("word").distinct().join(readings, "word", "left_semi")
+    known = cut(known, "known")
     fixed = (
         words.join(known.select(F.col("word").alias("first"), F.lit(True).alias("k1")), "first", "left")
         .join(known.select(F.col("word").alias("second"), F.lit(True).alias("k2")), "second", "left")
-        .withColumn("open", F.expr("odd AND k1 IS NULL AND k2 IS NULL"))
-        .withColumn("form", F.expr("CASE WHEN k1 THEN first WHEN k2 THEN second ELSE coalesce(first, folded) END"))
+        .withColumn("unknown", F.expr("mixed AND k1 IS NULL AND k2 IS NULL"))
+        .withColumn("form", F.expr("CASE WHEN k1 THEN first WHEN k2 THEN second WHEN mixed THEN coalesce(first, folded) ELSE folded END"))
     )
-    return fixed.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("pos", "form"))).alias("f"), F.bool_or("open").alias("mixed")).select("value", F.concat_ws(" ", F.col("f.form")).alias("form"), "mixed")
+    return fixed.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("pos", "form"))).alias("f"), F.bool_or("unknown").alias("open")).select("value", F.concat_ws(" ", F.col("f.form")).alias("form"), "open")
 
 
 def words_of(text: Column) -> Column:

@@ -45,7 +45,7 @@ def test_clean_pattern_accepts_only_folded_words():
 
 
 def test_readings():
-    assert unify.is_mixed("τoν") and unify.is_mixed("аб") and not unify.is_mixed("vel") and not unify.is_mixed("τόν")
+    assert unify.is_mixed("τoν") and unify.is_mixed("τа") and not unify.is_mixed("аб") and not unify.is_mixed("vel") and not unify.is_mixed("τόν")
     assert unify.greek_reading("τóv") == "τόν"
     assert unify.greek_reading("lόγος") is None
     assert unify.greek_reading("λόγoc") == "λόγος"
@@ -54,10 +54,10 @@ def test_readings():
 
 
 def test_vocabulary_decides(spark):
-    values = spark.createDataFrame([("τov",), ("cοdd",), ("ξopη",), ("lόγος",), (None,), ("",), ("τον",), ("τov",)], "value string")
+    values = spark.createDataFrame([("τov",), ("cοdd",), ("ξopη",), ("lόγος",), (None,), ("",), ("τον",), ("τov",), ("тоν",), ("тор",), ("мод",)], "value string")
     vocabulary = spark.createDataFrame([("τον",), ("codd",)], "word string")
-    got = {r["value"]: (r["form"], r["mixed"]) for r in unify.consistent_forms(values, vocabulary).collect()}
-    assert got == {"τov": ("τον", False), "cοdd": ("codd", False), "ξopη": ("ξορη", True), "lόγος": ("lόγος", True), "": ("", False)}
+    got = {r["value"]: (r["form"], r["open"]) for r in unify.consistent_forms(values, vocabulary).collect()}
+    assert got == {"τov": ("τον", False), "cοdd": ("codd", False), "ξopη": ("ξορη", True), "lόγος": ("lόγος", True), "": ("", False), "тоν": ("τον", False), "тор": ("тор", False), "мод": ("мод", False)}
 
 
 @needs_data
