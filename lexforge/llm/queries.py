@@ -87,7 +87,7 @@ def p3_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _union([distinctive.standing_out(distinctive.log_entropy(r)).select(F.lit(t).alias("record_table"), "record_id", "term") for t, r in _gloss_records(spark, d).items()])
+    return _union([distinctive.standing_out(r).select(F.lit(t).alias("record_table"), "record_id", "term") for t, r in _gloss_records(spark, d).items()])
 
 
 # --- 4: clusters
