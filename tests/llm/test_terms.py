@@ -19,11 +19,19 @@ def test_entropy(spark):
     assert got[1, "a"]["df"] == 2 and got[1, "a"]["gf"] == 3
     assert math.isclose(got[1, "a"]["score"], math.log(3) * g)
     assert math.isclose(got[1, "b"]["entropy_weight"], 1.0)
-    assert rows(distinctive.standing_out(distinctive.log_entropy(r)).select("record_id", "term")) == [(1, "a")]
+    assert rows(distinctive.standing_out(r).select("record_id", "term")) == [(1, "a")]
     assert distinctive.log_entropy(r.filter("record_id = 1")).filter("entropy_weight <> 1").count() == 0
     assert distinctive.log_entropy(r.limit(0)).count() == 0
 
 
+def test_standing_out_is_all_that_the_counts_allow(spark):
+    data = [(i, [f"t{(i * k) % 23}" for k in range(1, 9)] + [f"t{i % 23}"] * (i % 3) + ["all", "all"]) for i in range(40)]
+    for part in (data, data[:3], data[:9]):
+        r = spark.createDataFrame(part, "record_id bigint, terms array<string>")
+        want = rows(distinctive.log_entropy(r).filter("tf >= 2 AND df BETWEEN 2 AND 8").select("record_id", "term", "score"))
+        assert rows(distinctive.standing_out(r).select("record_id", "term", "score")) == want
+
+
 def brute(sequences: list[tuple[str, int, list]], n: int) -> dict:
     count, records = Counter(), defaultdict(set)
     for field, rid, terms in sequences:
@@ -46,15 +54,21 @@ def test_stack(seqs, n):
             g[0] += 1
             g[1].add(rid)
     ordered = sorted(grouped.items(), reverse=True)
-    out = ngrams.stack_counts(("f", list(k), c, list(r)) for k, (c, r) in ordered)
+    out = ngrams.stack_counts(("f", 0, list(k), c, list(r)) for k, (c, r) in ordered)
     assert {(f, tuple(g)): (c, r) for f, g, c, r in out} == brute([("f", i, s) for i, s in enumerate(seqs)], n)
 
 
-@pytest.mark.parametrize("slices", [1, 4, 256])
-def test_hot_first_term(spark, slices):
+def test_stack_is_emptied_between_salts():
+    rows = [("f", salt, ["h", x], 1, [salt * 100 + i]) for salt in range(4) for x in "ba" for i in range(3)]
+    out = [(g, n, r) for _, g, n, r in ngrams.stack_counts(rows)]
+    assert [x for x in out if x[0] == ["h"]] == [(["h"], 6, 3)] * 4
+
+
+@pytest.mark.parametrize("part", [1, 20, 100_000])
+def test_hot_first_term(spark, part):
     seqs = [("f", i, ["h", "h", chr(97 + i % 5), None, "h"]) for i in range(60)] + [("g", 1, ["x"]), ("g", 2, None), ("g", 3, [])]
     df = spark.createDataFrame(seqs, "field string, record_id bigint, terms array<string>")
-    got = {(r["field"], tuple(r["ngram"])): (r["n"], r["records"]) for r in ngrams.suffix_counts(df, 3, slices).collect()}
+    got = {(r["field"], tuple(r["ngram"])): (r["n"], r["records"]) for r in ngrams.suffix_counts(df, 3, part).collect()}
     assert got == brute(seqs, 3)
 
 
