@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +43,8 @@ class ForcedBoundaryEncoder:
 
     def clear(self) -> None:
         self.memo: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.new: list[list[int]] = []  # fragments not yet in the arrays
+        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def cuts(self, b: np.ndarray) -> np.ndarray:
         """Places i > 0 where the bytes b can be cut before b[i]."""
@@ -69,23 +72,26 @@ class ForcedBoundaryEncoder:
         ends = np.union1d(self.cuts(b), offsets[1:]) if len(b) else np.zeros(0, np.int64)
         ends = ends[ends > 0]
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        memo, parts, index = self.memo, self.parts, np.empty(len(ends), np.int64)
+        memo, new, index = self.memo, self.new, np.empty(len(ends), np.int64)
         for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
             piece = data[s:e]
             at = memo.get(piece)
             if at is None:
-                at = memo[piece] = len(parts)
-                parts.append(np.array(self.encode(piece.decode("utf-8", "replace")), np.int32))
+                at = memo[piece] = len(memo)
+                new.append(self.encode(piece.decode("utf-8", "replace")))
             index[k] = at
+        if new:
+            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, new), np.int64, len(new))])
+            self.flat = np.concatenate([self.flat, np.array([i for x in new for i in x], np.int32)])
+            new.clear()
         sizes = np.diff(np.searchsorted(ends, offsets, side="right"))
         return index, sizes
 
     def ids(self, texts: pa.Array) -> pa.Array:
         """list<int32> per text; an empty list for null and empty texts."""
         index, sizes = self._fragments(texts)
-        lengths = np.array([len(p) for p in self.parts], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        flat = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32)
+        lengths, flat = self.lengths, self.flat
+        starts = np.cumsum(lengths) - lengths
         n = lengths[index]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -95,19 +101,30 @@ class ForcedBoundaryEncoder:
 
     def counts(self, texts: pa.Array) -> pa.Array:
         index, sizes = self._fragments(texts)
-        lengths = np.array([len(p) for p in self.parts], np.int64)
-        ends = np.concatenate([[0], np.cumsum(lengths[index])]).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.lengths[index])]).astype(np.int64)
         return pa.array(np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])]), pa.int64())
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> ForcedBoundaryEncoder:
-    """One per Python worker and vocabulary."""
-    return ForcedBoundaryEncoder(path, pattern)
+    """One per Python worker and vocabulary. A worker without the file at that path takes the copy that was shipped."""
+    return ForcedBoundaryEncoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), pattern)
+
+
+_sent: set[tuple[str, str]] = set()
+
+
+def _ship(path: str) -> None:
+    """Send the vocabulary to the executors, once per application, as a node need not have it."""
+    context = SparkSession.active().sparkContext
+    if (context.applicationId, path) not in _sent:
+        _sent.add((context.applicationId, path))
+        context.addFile(path)
 
 
 def token_ids(text: Column, path: str = VOCABULARY, pattern: str = PATTERN) -> Column:
     """ARRAY<INT>: the ids of each text without special tokens; their strings are ordinary text. Null and empty: []."""
+    _ship(path)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def ids(texts: pa.Array) -> pa.Array:
@@ -118,6 +135,7 @@ def token_ids(text: Column, path: str = VOCABULARY, pattern: str = PATTERN) -> C
 
 def token_count(text: Column, path: str = VOCABULARY, pattern: str = PATTERN) -> Column:
     """BIGINT: the number of ids of each text, 0 for null and empty texts."""
+    _ship(path)
 
     @F.arrow_udf(T.LongType())
     def count(texts: pa.Array) -> pa.Array:
