@@ -18,29 +18,35 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     count[h] is the number of open packs filled to h. An item goes to the level that makes the sum of the squares of
     count least, a new pack being level 0; of equal levels to the fullest. Full packs leave the array.
     """
-    count = np.zeros(capacity + 1, np.int64)
+    none = -(1 << 29)
+    count = np.zeros(capacity + 1, np.int32)
+    taken = np.full(capacity + 1, none, np.int32)  # count, but very small where no pack is open
     opened: list[list[int]] = [[] for _ in range(capacity + 1)]
     pack = np.empty(len(sizes), np.int64)
     packs = 0
-    cost = np.empty(capacity + 1, np.int64)
-    far = np.iinfo(np.int64).max
+    cost = np.empty(capacity + 1, np.int32)
     for i, s in enumerate(sizes.tolist()):
-        room = capacity - s  # levels 0..room take the item
-        # change of the sum of squares for each level: one pack less at h, one more at h + s
-        np.multiply(count[s : capacity + 1], 2, out=cost[: room + 1])
-        cost[: room + 1] += 1
-        cost[room] = 0  # a pack filled to capacity is closed
-        c = cost[: room + 1]
-        c[1:] -= 2 * count[1 : room + 1] - 1
-        c[1:][count[1 : room + 1] == 0] = far
-        h = room - int(np.argmin(c[::-1]))
+        room = capacity - s
+        # change of the sum of squares: 1 - 2 count[room] where the item closes a pack, 2 count[s] + 1 for a new one,
+        # 2 (count[h + s] - count[h]) + 2 between; of equal changes the fullest level comes first
+        h, best = 0, (2 * int(count[s]) + 1 if room else 0)
+        if room > 1:
+            c = np.subtract(count[s + 1 : capacity], taken[1:room], out=cost[: room - 1])
+            at = room - 1 - int(c[::-1].argmin())
+            change = 2 * int(c[at - 1]) + 2
+            if change <= best:
+                h, best = at, change
+        if room and count[room] and 1 - 2 * int(count[room]) <= best:
+            h = room
         if h == 0:
             at, packs = packs, packs + 1
         else:
             at = opened[h].pop()
             count[h] -= 1
+            taken[h] = count[h] or none
         if h + s < capacity:
             count[h + s] += 1
+            taken[h + s] = count[h + s]
             opened[h + s].append(at)
         pack[i] = at
     return pack

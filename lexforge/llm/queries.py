@@ -212,6 +212,17 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(_packed(spark, d), table(spark, d, "pack_sizes"))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """By kind of pack: documents in packs, packs over capacity, documents of which tokens are missing or double, and documents split though they fit."""
+    packed = cut(_packed(spark, d), "packed")
+    kinds = table(spark, d, "pack_sizes").select("pack_name", F.col("capacity").cast("bigint").alias("capacity"))
+    over = packed.groupBy("pack_name", "pack_id").agg(F.sum("size").alias("s")).join(F.broadcast(kinds), "pack_name").groupBy("pack_name").agg(F.count_if(F.col("s") > F.col("capacity")).alias("overfull"))
+    by_doc = packed.groupBy("pack_name", "item_id").agg(F.sum("size").alias("s"), F.count("*").alias("parts")).join(F.broadcast(kinds), "pack_name")
+    sizes = p7_lengths(spark, d).select(F.col("doc_id").alias("item_id"), "n_tokens")
+    whole = by_doc.join(sizes, "item_id").groupBy("pack_name", "capacity").agg(F.count("*").alias("documents"), F.count_if(F.col("s") != F.col("n_tokens")).alias("incomplete"), F.count_if((F.col("parts") > 1) & (F.col("n_tokens") <= F.col("capacity"))).alias("split"))
+    return whole.join(over, "pack_name")
+
+
 # --- 9: subject areas
 
 
