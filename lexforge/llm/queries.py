@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import clusters, distinctive, ngrams, packing, subjects, tokens, unify
+from lexforge.llm import clusters, distinctive, ngrams, oracles, packing, subjects, tokens, unify
 from lexforge.operators.records import one_per_id
 from lexforge.session import cut, table
 
@@ -230,7 +230,25 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, subject: the subjects that a main share of the text's sentences is about."""
     documents = table(spark, d, "documents")
     model = subjects.train(documents, table(spark, d, "doc_labels"))
-    return subjects.subject_shares(documents, model).filter(F.col("share") >= (model.least_share if model else 1)).select("doc_id", "subject")
+    return subjects.subject_shares(documents, model).filter("about").select("doc_id", "subject")
+
+
+def p9_quality(spark: SparkSession, d: str) -> DataFrame:
+    """subject, given, agreed, labelled on the labelled texts held out from fitting and from thresholds."""
+    documents, labels = table(spark, d, "documents"), table(spark, d, "doc_labels")
+    texts = subjects.labelled_texts(documents, labels)
+    return subjects.quality(texts, subjects.train(documents, labels, texts=texts))
+
+
+def p9_lifts(spark: SparkSession, d: str) -> DataFrame:
+    """What each step of the address paths and each section tells about each subject."""
+    found = subjects.lifts(subjects.labelled_texts(table(spark, d, "documents"), table(spark, d, "doc_labels")))
+    return found.select("field", "value", "subject", "n", *[F.round(c, 5).alias(c) for c in ("lift", "precision", "z")])
+
+
+def p9_path_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The steps of address paths and the sections that serve as weak labels; none where they tell nothing."""
+    return subjects.path_rules(subjects.labelled_texts(table(spark, d, "documents"), table(spark, d, "doc_labels")))
 
 
 def p9_composition(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +258,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("subject").agg(F.count("*").alias("documents")).withColumn("share", F.col("documents") / n)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_frame_lemmas, p3_found, p3_weights, p4_found, p4_members, p4_clusters, p5_found, p5_ngrams, p5_terms, p7_ids, p7_lengths, p8_packs, p8_fill, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_frame_lemmas, p3_found, p3_weights, p4_found, p4_pairs, p4_members, p4_clusters, p5_found, p5_ngrams, p5_terms, p7_ids, p7_lengths, p8_packs, p8_fill, p8_checks, p9_found, p9_quality, p9_lifts, p9_path_rules, p9_composition)}
 _G = {"lemmas": "SELECT DISTINCT ON (lemma_id) lemma_id AS id, lsj_glosses AS g FROM lemmas", "lemma_frames": "SELECT DISTINCT ON (row_id) row_id AS id, gloss AS g FROM lemma_frames"}
 
 
@@ -253,7 +271,9 @@ def _weights_sql(t: str) -> str:
 _SETS = f"(SELECT id, list_distinct(regexp_extract_all(lower(g), '\\p{{L}}+')) AS t FROM ({_G['lemmas']}) WHERE g IS NOT NULL)"
 _BOOKS = "(SELECT book_id, [" + ", ".join(f"topic_{i} / (" + " + ".join(f"topic_{k}" for k in range(BOOK_TOPICS)) + ")" for i in range(BOOK_TOPICS)) + "] AS v FROM (SELECT DISTINCT ON (book_id) * FROM topic_prevalence_by_book) WHERE " + " AND ".join(f"topic_{i} IS NOT NULL" for i in range(BOOK_TOPICS)) + ")"
 
-ORACLE: dict[str, str] = {
+ORACLE: dict[str, str] = oracles.ORACLE | {
+    "p8_checks": "SELECT pack_name, CAST(capacity AS BIGINT) AS capacity, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0 AS overfull, 0 AS incomplete, 0 AS split FROM pack_sizes",
+    "p9_lifts": "WITH a AS (SELECT doc_id, list(subject) AS s FROM doc_labels WHERE doc_id IS NOT NULL GROUP BY 1), t AS (SELECT d.doc_id, source, kind, list_distinct(s) AS s FROM documents d JOIN a ON d.doc_id = a.doc_id WHERE trim(text, ' ') <> ''), m AS (SELECT doc_id, s, 'kind' AS field, kind AS value FROM t WHERE kind IS NOT NULL UNION ALL SELECT doc_id, s, 'source', unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[1:i], '/'))) FROM (SELECT doc_id, s, string_split_regex(source, '[/_.:-]') AS p FROM t WHERE source IS NOT NULL)), v AS (SELECT field, value, count(*) AS n_v FROM m GROUP BY 1, 2), x AS (SELECT subject, count(*) / (SELECT count(*) FROM t) AS p FROM (SELECT unnest(s) AS subject FROM t) WHERE subject IS NOT NULL GROUP BY 1), b AS (SELECT field, value, subject, count(*) AS n FROM (SELECT field, value, unnest(s) AS subject FROM m) WHERE subject IS NOT NULL GROUP BY 1, 2, 3) SELECT b.field, b.value, b.subject, n, round(n / n_v / p, 5) AS lift, round(n / n_v, 5) AS precision, round((n - n_v * p) / sqrt(n_v * p * (1 - p) + 1e-9), 5) AS z FROM b JOIN v ON b.field = v.field AND b.value = v.value JOIN x ON b.subject = x.subject",
     "p3_weights": " UNION ALL ".join(f"SELECT record_table, record_id, term, tf, df, gf, round(w, 6) AS entropy_weight, round(ln(1 + tf) * w, 6) AS score FROM ({_weights_sql(t)})" for t in _G),
     "p3_found": " UNION ALL ".join(f"SELECT record_table, record_id, term FROM ({_weights_sql(t)}) WHERE tf >= 2 AND df BETWEEN 2 AND 8" for t in _G),
     "p4_found": f"SELECT 'lemmas' AS record_table, a.id AS id_a, b.id AS id_b FROM {_SETS} a JOIN {_SETS} b ON a.id < b.id WHERE len(list_intersect(a.t, b.t)) * 5 >= 3 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AND len(a.t) > 0 AND len(b.t) > 0 UNION ALL SELECT 'topic_prevalence_by_book', a.book_id, b.book_id FROM {_BOOKS} a JOIN {_BOOKS} b ON a.book_id < b.book_id WHERE list_max(list_transform(range(1, {BOOK_TOPICS + 1}), lambda i: abs(a.v[i] - b.v[i]))) <= 0.01",

@@ -126,9 +126,55 @@ def test_sentences_and_features():
 def test_held_out_accuracy(spark):
     from lexforge.session import table
 
-    m = subjects.train(table(spark, SMALL.replace("0.01", "0.1"), "documents"), table(spark, SMALL.replace("0.01", "0.1"), "doc_labels"))
+    documents, labels = (table(spark, SMALL.replace("0.01", "0.1"), t) for t in ("documents", "doc_labels"))
+    texts = subjects.labelled_texts(documents, labels)
+    m = subjects.train(documents, labels, texts=texts)
     assert len(m.subjects) == 14
-    assert m.f1 > 0.8  # annotators disagree with each other more than that
+    given, agreed, labelled = (sum(r[c] for r in subjects.quality(texts, m).collect()) for c in ("given", "agreed", "labelled"))
+    assert 2 * agreed / (given + labelled) > 0.8  # annotators disagree with each other more than that
+    assert subjects.path_rules(texts).count() == 0  # addresses and sections don't tell the subject in these data
+
+
+def test_fits_in_tasks_are_the_same(spark):
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(list("abcdef") if i % 2 else list("defghi"), 8)) for i in range(60)]
+    _, _, x = subjects.featurize(texts)
+    y = np.stack([np.arange(60) % 2, rng.random(60)], 1).astype(np.float32).astype(float)
+    alone, tasks = subjects.fit(x, y, 20), subjects.fit(x, y, 20, spark=spark)
+    assert np.allclose(alone[0], tasks[0]) and np.allclose(alone[1], tasks[1])
+
+
+def test_paths_that_tell_the_subject(spark):
+    """Half of the documents have annotators; under law/ all are about law, the other paths tell nothing."""
+    docs, labels = [], []
+    for i in range(900):
+        subject = "law" if i % 3 == 0 else "sport"
+        word = {"law": "court judge verdict", "sport": "race athlete wreath"}[subject]
+        docs.append((i, f"{word} {i % 7}. {word}.", f"{'law' if i % 9 == 0 else 'misc'}/{i % 4}", "note"))
+        if i % 2:
+            labels.append((i, subject, "x"))
+    docs += [(5000 + i, "quillon parry riposte. quillon parry.", "law/9", "note") for i in range(60)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, source string, kind string")
+    labels = spark.createDataFrame(labels, "doc_id bigint, subject string, annotator string")
+    rules = subjects.path_rules(subjects.labelled_texts(docs, labels), lift=2.0)
+    assert {(r["field"], r["value"], r["subject"]) for r in rules.filter("value = 'law'").collect()} == {("source", "law", "law")}
+    assert rules.filter("value LIKE 'misc%' OR field = 'kind'").count() == 0
+    weak = subjects.weak_texts(docs, labels, rules, 40)
+    assert weak.count() == 40 and weak.filter("array_contains(subjects, 'law') AND weights[0] > 0.9").count() == 40
+    assert subjects.weak_texts(docs, labels, rules, 1000).filter("doc_id >= 5000").count() == 60
+
+
+def test_thresholds_follow_the_subject_with_support():
+    counts = np.zeros((2, len(subjects.SCORES) + 1, len(subjects.SHARES), 2))
+    counts[0, -1], counts[1, -1] = 1000, 1
+    counts[0, 2, 3] = 1000, 1000
+    counts[1, 5, 6] = 1, 1
+    score, share = subjects.thresholds(counts)
+    assert score[0] == score[1] == subjects.SCORES[2] and share[0] == share[1] == subjects.SHARES[3]
+    counts[1, -1] = 1000
+    counts[1, 5, 6] = 1000, 1000
+    score, share = subjects.thresholds(counts)
+    assert score.tolist() == subjects.SCORES[[2, 5]].tolist() and share.tolist() == subjects.SHARES[[3, 6]].tolist()
 
 
 def test_no_labels(spark):
