@@ -231,6 +231,68 @@ def word_vectors(sentences: DataFrame, tokens: str = "tokens", dims: int = 100,
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
+def encode_texts(df: DataFrame, item: str, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64, done: DataFrame | None = None) -> DataFrame:
+    """item, vector ARRAY<FLOAT> of unit length, by any sentence encoder.
+
+    load() runs once per task and gives encode(texts) -> matrix; texts go to it in batches of at most `batch`. Rows whose
+    item is in done (item, vector) aren't encoded again but passed on, so a stopped run goes on where it was. Null
+    texts have no row.
+    """
+    rows = df.filter(F.col(text).isNotNull()).select(item, text)
+    if done is not None:
+        rows = rows.join(done.select(item), item, "left_anti")
+    kind = dict(df.dtypes)[item]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = None
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                encode = encode or load()
+                v = np.asarray(encode(part.column(1).to_pylist()), np.float64).reshape(part.num_rows, -1)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                yield pa.record_batch([part.column(0), pa.array(list(v.astype(np.float32)), pa.list_(pa.float32()))], names=[item, "vector"])
+
+    fresh = rows.mapInArrow(run, f"{item} {kind}, vector array<float>")
+    return fresh if done is None else done.select(item, F.col("vector").cast("array<float>").alias("vector")).unionByName(fresh)
+
+
+def pool_overlap(pieces: np.ndarray, spans: list[tuple[int, int]], start: int, end: int) -> np.ndarray | None:
+    """The mean of the rows of pieces whose span (end exclusive) meets start..end, at unit length; None if none does or it is zero."""
+    at = [i for i, (a, b) in enumerate(spans) if b > a and a < end and b > start]
+    if not at:
+        return None
+    v = np.asarray(pieces, np.float64)[at].mean(0)
+    n = float(np.linalg.norm(v))
+    return v / n if n else None
+
+
+def encode_occurrences(df: DataFrame, item: str, text: str, targets: str, load: Callable[[], Callable[[list[str]], list[tuple[np.ndarray, list[tuple[int, int]]]]]], batch: int = 32) -> DataFrame:
+    """item, target INT (place from 0), vector ARRAY<FLOAT> of every target of a text, by any contextual encoder.
+
+    targets: ARRAY<STRUCT<start INT, end INT>> in characters, end exclusive. load() gives encode(texts) -> per text the
+    matrix of its pieces and their character spans, (0, 0) for special pieces. A target takes the mean of the pieces
+    that meet it; one no piece meets, as in a cut text, has no row.
+    """
+    kind = dict(df.dtypes)[item]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = None
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                encode = encode or load()
+                out: tuple[list, list, list] = ([], [], [])
+                for i, wanted, (pieces, spans) in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    for k, t in enumerate(wanted or []):
+                        if t is not None and t["start"] is not None and t["end"] is not None and (v := pool_overlap(pieces, spans, t["start"], t["end"])) is not None:
+                            for c, x in zip(out, (i, k, v.astype(np.float32)), strict=True):
+                                c.append(x)
+                yield pa.record_batch([pa.array(out[0], b.schema.field(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.float32()))], names=[item, "target", "vector"])
+
+    return df.filter(F.col(text).isNotNull()).select(item, text, targets).mapInArrow(run, f"{item} {kind}, target int, vector array<float>")
+
+
 def hashed_embedding(df: DataFrame, item: str, text: str, dims: int = 64) -> DataFrame:
     """item, vector: unit vector of signed hashed character trigrams; stands where no encoder model is given."""
     grams = F.expr(f"transform(sequence(1, greatest(length({text}) - 2, 1)), i -> substring({text}, i, 3))")

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.text import detokenize, nfc, token_offsets
+from lexforge.operators.spans import passage_sentences
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """Parquet by default; csv gets a header and quotes by need."""
@@ -31,8 +34,11 @@ def cluster_listing(members: DataFrame, names: DataFrame | None = None, gloss_ch
 
 
 def write_listing(listing: DataFrame, path: str) -> None:
-    """One text file, clusters by descending size then id."""
-    listing.repartition(1).sortWithinPartitions(F.desc("size"), "cluster").select(F.concat("body", F.lit("\n"))).write.mode("overwrite").text(path)
+    """Text files in the order of their names, clusters by descending size then id (L7); a small listing is one file.
+
+    The sort is over ranges, so no task holds the whole listing.
+    """
+    listing.orderBy(F.desc("size"), "cluster").select(F.concat("body", F.lit("\n"))).write.mode("overwrite").text(path)
 
 
 def frame_listing(members: DataFrame, fillers: DataFrame, k: int = 8) -> DataFrame:
@@ -60,11 +66,48 @@ def unglossed(lemmas: DataFrame) -> DataFrame:
     return lemmas.filter("gloss IS NULL OR gloss = ''").select("lemma", "freq").orderBy(F.desc("freq"), "lemma")
 
 
+def passage_documents(tokens: DataFrame, passages: DataFrame) -> DataFrame:
+    """passage, source, text_source, text, tokens ARRAY<STRUCT<form, lemma, postag, cite, start, end>>, unplaced.
+
+    tokens: work, sentence_id, position, form, lemma, postag, cite; passages: passage, source, text_source, text (null:
+    made of the forms), work, cites ARRAY. A passage has the sentences of its work that share a citation with it, in the
+    order of sentence and position. Offsets are found from left to right, end inclusive; unplaced counts the forms with
+    a letter or digit that weren't found. A passage without sentences has no tokens.
+    """
+    kept = passage_sentences(tokens, passages.select("passage", "work", "cites"))
+    word = F.struct(F.col("sentence_id").try_cast("bigint").alias("s"), "sentence_id", "position", nfc(F.coalesce("form", F.lit(""))).alias("form"), nfc(F.col("lemma")).alias("lemma"), "postag", F.element_at(F.split("cite", ":"), -1).alias("cite"))
+    words = tokens.join(kept, ["work", "sentence_id"]).groupBy("passage").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    rows = passages.select("passage", "source", "text_source", F.col("text").alias("_t")).join(words, "passage", "left")
+    placed = rows.withColumn("text", F.coalesce("_t", detokenize(F.col("w.form")))).withColumn("_o", token_offsets(F.col("text"), F.coalesce(F.col("w.form"), F.array().cast("array<string>"))))
+    at = lambda o: F.get(F.col("w"), o["at"])
+    found = F.transform("_o", lambda o: F.struct(*[at(o)[c].alias(c) for c in ("form", "lemma", "postag", "cite")], o["start"].alias("start"), o["end"].alias("end")))
+    spoken = F.size(F.filter(F.coalesce(F.col("w.form"), F.array().cast("array<string>")), lambda f: f.rlike(r"[\p{L}\p{N}_]")))
+    return placed.select("passage", "source", "text_source", "text", found.alias("tokens"), (spoken - F.size("_o")).alias("unplaced"))
+
+
 def passages_json(sentences: DataFrame) -> DataFrame:
     """value: one JSON sentence per row (K7); write with write.text."""
     return sentences.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def plot_rows(points: DataFrame, top: int = 140) -> DataFrame:
+    """item, x, y, label, freq, text: the points of a map, noise without colour and the `top` most frequent others named.
+
+    points: item, x, y, label, freq. Ties of frequency go to the lesser item; the drawing itself is left to the caller.
+    """
+    named = points.filter("label <> -1").orderBy(F.desc("freq"), "item").limit(top).select("item", F.col("item").cast("string").alias("text"))
+    return points.join(named, "item", "left").select("item", "x", "y", "label", "freq", "text")
+
+
+def copy_files(spark: SparkSession, files: dict[str, str]) -> None:
+    """Copies of a run's files, source to target, on any file system that Spark reads (K14); a missing source is an error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for source, target in files.items():
+        a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+        b.getFileSystem(conf).mkdirs(b.getParent())
+        jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+
+
 def annotation_xml(sentences: DataFrame, corpus: str) -> DataFrame:
     """sentence_id, xml: a full-text annotation document per sentence with Target and FE layers (K8).
 
