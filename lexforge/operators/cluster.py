@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -384,56 +384,123 @@ def relabel_by_size(df: DataFrame, label: str) -> DataFrame:
     return df.join(ranks, label, "left").withColumn(label, F.when(F.col(label).isNotNull(), F.coalesce("_new", F.lit(-1)))).drop("_new")
 
 
-def louvain(edges: list[tuple[int, int, float]], resolution: float = 3.0, seed: int = 42) -> dict[int, int]:
-    """Communities of a weighted graph by modularity moves and aggregation until nothing improves."""
-    rng = np.random.default_rng(seed)
-    nodes = sorted({x for a, b, _ in edges for x in (a, b)})
-    member = {x: x for x in nodes}
-    graph: dict[int, dict[int, float]] = {x: {} for x in nodes}
+def _neighbours(edges: list[tuple[int, int, float]]) -> dict[int, dict[int, float]]:
+    graph: dict[int, dict[int, float]] = {x: {} for x in sorted({x for a, b, _ in edges for x in (a, b)})}
     for a, b, w in edges:
         graph[a][b] = graph[a].get(b, 0) + w
         graph[b][a] = graph[b].get(a, 0) + w
+    return graph
+
+
+def _ties(graph: dict[int, dict[int, float]], x: int, where: dict[int, int]) -> dict[int, float]:
+    out: dict[int, float] = {}
+    for y, w in graph[x].items():
+        if y != x:
+            out[where[y]] = out.get(where[y], 0.0) + w
+    return out
+
+
+def _move(graph: dict, degree: dict, where: dict, price: float, rng: np.random.Generator) -> None:
+    """Nodes go to the community of greatest gain until none gains; the neighbours of one that went are looked at again."""
+    mass: dict[int, float] = {}
+    for x, c in where.items():
+        mass[c] = mass.get(c, 0.0) + degree[x]
+    queue = deque(rng.permutation(sorted(graph)).tolist())
+    waiting = set(queue)
+    fresh = max(mass) + 1
+    while queue:
+        x = queue.popleft()
+        waiting.discard(x)
+        here, ties = where[x], _ties(graph, x, where)
+        mass[here] -= degree[x]
+        gain = {c: w - price * degree[x] * mass[c] for c, w in ties.items()}
+        stay = gain.get(here, -price * degree[x] * mass[here])
+        best = max(sorted(gain), key=gain.get, default=here)
+        top = gain.get(best, stay)
+        if max(top, 0.0) <= stay + 1e-12:
+            best = here
+        elif top < -1e-12:  # alone is better than with any neighbour
+            best, fresh = fresh, fresh + 1
+        mass[best] = mass.get(best, 0.0) + degree[x]
+        if best != here:
+            where[x] = best
+            for y in graph[x]:
+                if y != x and where[y] != best and y not in waiting:
+                    waiting.add(y)
+                    queue.append(y)
+
+
+def _refine(graph: dict, degree: dict, where: dict, price: float, rng: np.random.Generator, theta: float) -> dict[int, int]:
+    """A finer partition: within each community, well connected single nodes join well connected parts they don't lose by,
+    at random in proportion to exp(gain / theta). So every part is connected."""
+    part = {x: x for x in graph}
+    groups: dict[int, list[int]] = {}
+    for x in sorted(graph):
+        groups.setdefault(where[x], []).append(x)
+    for c, nodes in sorted(groups.items()):
+        whole = sum(degree[x] for x in nodes)
+        inside = {x: sum(w for y, w in graph[x].items() if y != x and where[y] == c) for x in nodes}
+        mass, cut_weight, size = {x: degree[x] for x in nodes}, dict(inside), dict.fromkeys(nodes, 1)
+        for x in rng.permutation(nodes).tolist():
+            if size[part[x]] > 1 or inside[x] < price * degree[x] * (whole - degree[x]) - 1e-12:
+                continue
+            ties: dict[int, float] = {}
+            for y, w in graph[x].items():
+                if y != x and where[y] == c:
+                    ties[part[y]] = ties.get(part[y], 0.0) + w
+            options = [(x, 0.0)]
+            for p, w in sorted(ties.items()):
+                gain = w - price * degree[x] * mass[p]
+                if gain >= 0 and cut_weight[p] >= price * mass[p] * (whole - mass[p]) - 1e-12:
+                    options.append((p, gain))
+            g = np.array([o[1] for o in options]) / theta
+            chance = np.exp(g - g.max())
+            p = options[int(rng.choice(len(options), p=chance / chance.sum()))][0]
+            if p != x:
+                cut_weight[p] += inside[x] - 2 * ties[p]
+                mass[p] += degree[x]
+                size[p] += 1
+                size[x] = 0
+                part[x] = p
+    return part
+
+
+def leiden(edges: list[tuple[int, int, float]], resolution: float = 3.0, seed: int = 42, theta: float = 0.01) -> dict[int, int]:
+    """Communities of a weighted graph by moves, refinement and aggregation until nothing changes (G3); each is connected.
+
+    After Traag, Waltman and van Eck, From Louvain to Leiden (2019). Labels from 0 by descending size, ties by node.
+    """
+    rng, graph = np.random.default_rng(seed), _neighbours(edges)
+    if not graph:
+        return {}
     total = sum(w for n in graph.values() for w in n.values()) or 1.0
+    price = resolution / total
+    member, where = {x: x for x in graph}, {x: x for x in graph}
     while True:
-        where = {x: x for x in graph}
         degree = {x: sum(n.values()) for x, n in graph.items()}
-        mass = dict(degree)
-        moved_any = False
-        for _ in range(100):
-            moved = False
-            for x in rng.permutation(sorted(graph)).tolist():
-                here = where[x]
-                ties: dict[int, float] = {here: 0.0}
-                for y, w in graph[x].items():
-                    if y != x:
-                        ties[where[y]] = ties.get(where[y], 0) + w
-                mass[here] -= degree[x]
-                best = max(sorted(ties), key=lambda c: ties[c] - resolution * degree[x] * mass[c] / total)
-                gain = (ties[best] - resolution * degree[x] * mass[best] / total) - (ties[here] - resolution * degree[x] * mass[here] / total)
-                best = best if gain > 1e-12 else here
-                mass[best] += degree[x]
-                if best != here:
-                    where[x], moved, moved_any = best, True, True
-            if not moved:
-                break
-        if not moved_any:
+        _move(graph, degree, where, price, rng)
+        part = _refine(graph, degree, where, price, rng, theta * max(degree.values()))
+        if len(set(part.values())) == len(graph):
             break
-        member = {x: where[c] for x, c in member.items()}
-        merged: dict[int, dict[int, float]] = {c: {} for c in set(where.values())}
+        member = {x: part[c] for x, c in member.items()}
+        merged: dict[int, dict[int, float]] = {c: {} for c in set(part.values())}
         for x, n in graph.items():
             for y, w in n.items():
-                a, b = where[x], where[y]
-                merged[a][b] = merged[a].get(b, 0) + w
-        graph = merged
-    sizes = Counter(member.values())
-    ranks = {c: i for i, c in enumerate(sorted(sizes, key=lambda c: (-sizes[c], c)))}
-    return {x: ranks[c] for x, c in member.items()}
+                a, b = part[x], part[y]
+                merged[a][b] = merged[a].get(b, 0.0) + w
+        graph, where = merged, {p: where[p] for p in merged}
+    found = {x: where[c] for x, c in member.items()}
+    sizes, least = Counter(found.values()), {}
+    for x, c in sorted(found.items()):
+        least.setdefault(c, x)
+    ranks = {c: i for i, c in enumerate(sorted(sizes, key=lambda c: (-sizes[c], least[c])))}
+    return {x: ranks[c] for x, c in found.items()}
 
 
 def communities(edges: DataFrame, resolution: float = 3.0, seed: int = 42, most: int = 2_000_000) -> DataFrame:
-    """item, label by louvain over a kNN graph of types; a driver step on at most `most` edges, an error beyond it."""
+    """item, label by leiden over a kNN graph of types; a driver step on at most `most` edges, an error beyond it."""
     rows = edges.select("src", "dst", "weight").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} edges; use MLlib's PowerIterationClustering")
-    found = louvain([tuple(r) for r in rows], resolution, seed)
+    found = leiden([tuple(r) for r in rows], resolution, seed)
     return edges.sparkSession.createDataFrame(list(found.items()), f"item {dict(edges.dtypes)['src']}, label int")

@@ -34,6 +34,14 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("items", F.when(F.col("items").isNull(), None).when(most == expected, 1.0).otherwise((F.col("s") - expected) / (most - expected)).alias("ari"))
 
 
+def partition_agreement(a: DataFrame, b: DataFrame, item: str, label: str, least: int = 10) -> DataFrame:
+    """One row (items, ari) of two partitions over the items that both label, noise (-1) left out (J10); ari is null
+    for fewer than `least` common items."""
+    x, y = (side.filter(labelled(label)).select(item, F.col(label).alias(name)) for side, name in ((a, "_x"), (b, "_y")))
+    found = adjusted_rand(x.join(y, item), "_x", "_y")
+    return found.select(F.coalesce("items", F.lit(0)).alias("items"), F.when(F.col("items") >= least, F.col("ari")).alias("ari"))
+
+
 def _expected_mutual(rows: list[tuple[int, int]], cols: list[tuple[int, int]]) -> float:
     """The expected mutual information of random partitions with these margins: (size, how many clusters have it)."""
     n = sum(s * c for s, c in rows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as tx
 from lexforge.functions.vectors import norm
-from lexforge.operators import classify, cluster, compare, lexicon, metrics, spans, stability, terms, tree, validate, vectors
+from lexforge.operators import classify, cluster, compare, embed, lexicon, metrics, spans, stability, terms, tree, validate, vectors
 from lexforge.operators.records import one_per_id
 from lexforge.session import cut, table
 from lexforge.sources import sinks
@@ -258,6 +258,38 @@ def plain_gloss_words(spark: SparkSession, d: str) -> DataFrame:
     return lemmas(spark, d).select("lemma_id", tx.plain_words(F.col("lsj_glosses")).alias("words"))
 
 
+@query(f"SELECT passage_id, CAST(token_pos AS BIGINT) AS token_pos, nfc_normalize(form) AS composed, regexp_replace(strip_accents(form), '[0-9]+$', '') AS bare, regexp_replace(regexp_replace(translate(nfc_normalize(trim(form, ' ')), '’ʼ', chr(39) || chr(39)), '\\s+', ' ', 'g'), '\\s+([,.;·])', '\\1', 'g') AS key, CASE substr(rpad(coalesce(postag, ''), 9, '-'), 6, 1) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.VOICES.items())} WHEN '-' THEN '' ELSE substr(rpad(coalesce(postag, ''), 9, '-'), 6, 1) END AS voice FROM {_TOK}")
+def token_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Every form composed, bare and as a gloss key, with the name of its voice."""
+    f = F.col("form")
+    return tokens(spark, d).select("passage_id", F.col("token_pos").cast("bigint").alias("token_pos"), tx.nfc(f).alias("composed"), tx.bare(f).alias("bare"), tx.gloss_key(f).alias("key"), tx.voice_name(tx.decode_postag(F.col("postag"))["voice"]).alias("voice"))
+
+
+_STRIP = tx.STRIP.replace("'", "''")
+
+
+@query(f"SELECT passage_id, list_filter(list_transform(string_split_regex(trim(regexp_replace(nfc_normalize(text), '\\[[^\\]]*\\]', ' ', 'g'), ' '), '[ \\t\\n\\f\\r\\v]+'), lambda w: trim(w, '{_STRIP}')), lambda w: w <> '') AS words FROM (SELECT DISTINCT ON (passage_id) passage_id, text FROM passages)")
+def tokenized_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The words of every passage's text."""
+    p = one_per_id(table(spark, d, "passages"), "passage_id", "text")
+    return p.select("passage_id", tx.tokenize_line(F.col("text")).alias("words"))
+
+
+@query(r"SELECT doc_id, trim(coalesce(array_to_string(list_filter(k, lambda s, i: list_position(k, s) = i), '; '), ''), '; ') AS gloss FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?s)\*\*(.+?)\*\*', 1), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'), ' ')), lambda s: s <> '' AND NOT (length(regexp_replace(s, '[^\p{L}]', '', 'g')) > 0 AND length(regexp_replace(regexp_replace(s, '[^\p{L}]', '', 'g'), '[^" + _GREEK[1:-1] + r"]', '', 'g')) >= length(regexp_replace(s, '[^\p{L}]', '', 'g')) * 0.5)) AS k FROM (SELECT doc_id, regexp_replace(text, '\*{1,2}', '**', 'g') AS text FROM documents WHERE text IS NOT NULL))")
+def bold_glosses(spark: SparkSession, d: str) -> DataFrame:
+    """The bold spans of every document that aren't mostly Greek (P10)."""
+    t = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.regexp_replace("text", r"\*{1,2}", "**").alias("e"))
+    return t.select("doc_id", tx.bold_gloss(F.col("e")).alias("gloss"))
+
+
+@query(f"SELECT lemma_id, round(log10(homer_count + 1), 6) AS log_count, round_even(homer_count / 8, 2) AS eighth, pos || '#' || lemma_id AS synset, pos, CASE WHEN pos IS NOT NULL THEN CAST(lemma_id AS VARCHAR) END AS key, substr(lsj_glosses, 1, length(regexp_extract(lsj_glosses, '(?s)^(.*?[.!?](?:\\s|$)|.*)', 1)) - CASE WHEN regexp_matches(regexp_extract(lsj_glosses, '(?s)^(.*?[.!?](?:\\s|$)|.*)', 1), '(?s)[.!?]\\s$') THEN 1 ELSE 0 END) AS sentence FROM {_LEM}")
+def lemma_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Logarithms and ratios of counts, synset ids taken apart, first sentences."""
+    synset = F.concat(F.col("pos"), F.lit("#"), F.col("lemma_id").cast("string"))
+    pos, offset = tx.synset_parts(synset)
+    return lemmas(spark, d).select("lemma_id", F.round(F.log10(F.col("homer_count") + 1), 6).alias("log_count"), tx.two_places(F.col("homer_count") / 8).alias("eighth"), synset.alias("synset"), pos.alias("pos"), offset.alias("key"), tx.first_sentence(F.col("lsj_glosses")).alias("sentence"))
+
+
 # --- term weights, windows, topics
 
 _STOPLIST = ", ".join(f"'{s}'" for s in terms.ENGLISH_STOPS)
@@ -306,14 +338,14 @@ def nmf_topic_terms(spark: SparkSession, d: str) -> DataFrame:
     book, line = tx.book_line(F.col("cite"))
     t = tokens(spark, d).filter(tx.is_content_word(F.col("lemma"))).select("work", book.alias("book"), line.alias("line"), "lemma")
     w = terms.windows(t, ["work", "book"], "line", "lemma").withColumn("doc", F.concat_ws(" ", "work", "book", "window"))
-    _, topic_terms = terms.nmf_topics(terms.tfidf(w, "doc", "terms", 3), "doc", 10, 40)
+    _, topic_terms = terms.nmf_topics(terms.tfidf(w, "doc", "terms", 3), "doc")
     return sinks.topic_listing(topic_terms)
 
 
 @query()
 def als_topic_terms(spark: SparkSession, d: str) -> DataFrame:
     docs = tokens(spark, d).groupBy("passage_id").agg(F.collect_list("lemma").alias("t"))
-    return sinks.topic_listing(terms.als_topics(terms.tfidf(docs, "passage_id", "t", 3), "passage_id", 10, 5)[1])
+    return sinks.topic_listing(terms.als_topics(terms.tfidf(docs, "passage_id", "t", 3), "passage_id")[1])
 
 
 @query()
@@ -323,10 +355,30 @@ def anchored_topic_scores(spark: SparkSession, d: str) -> DataFrame:
     return terms.anchored_topics(t, "doc_id", anchors)
 
 
+@query()
+def anchored_correlation_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of anchored topics over the windows of the passages."""
+    docs = tokens(spark, d).filter(tx.is_content_word(F.col("lemma"))).select("passage_id", F.col("lemma").alias("term"))
+    counts = docs.groupBy("term").agg(F.count("*").alias("n"))
+    anchors = terms.ranked(counts, F.desc("n"), F.col("term")).filter("rank <= 10").select((F.col("rank") - 1).cast("int").alias("topic"), "term")
+    return embed.anchored_correlation(docs, "passage_id", anchors)[1]
+
+
+@query()
+def subword_lemma_vectors(spark: SparkSession, d: str) -> DataFrame:
+    s = tokens(spark, d).filter("lemma <> ''").groupBy("passage_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("token_pos", "lemma"))), lambda x: x["lemma"]).alias("tokens"))
+    return embed.subword_model(s)
+
+
+@query()
+def neighbours_reduced(spark: SparkSession, d: str) -> DataFrame:
+    return embed.reduce_neighbours(emb(spark, d), "vec_id", "embedding")
+
+
 @query()
 def lemma_vectors(spark: SparkSession, d: str) -> DataFrame:
     s = tokens(spark, d).filter("lemma <> ''").groupBy("passage_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("token_pos", "lemma"))), lambda x: x["lemma"]).alias("tokens"))
-    return vectors.word_vectors(s, dims=32, iterations=1)
+    return vectors.word_vectors(s)
 
 
 # --- partitions
@@ -351,6 +403,13 @@ def _ami_sql(pairs: str) -> str:
     return f"WITH c AS (SELECT a, b, count(*) AS n FROM ({pairs}) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2), ra AS (SELECT a, CAST(sum(n) AS DOUBLE) AS n FROM c GROUP BY 1), rb AS (SELECT b, CAST(sum(n) AS DOUBLE) AS n FROM c GROUP BY 1), tot AS (SELECT CAST(sum(n) AS DOUBLE) AS w FROM c), sa AS (SELECT n AS s, count(*) AS m FROM ra GROUP BY 1), sb AS (SELECT n AS s, count(*) AS m FROM rb GROUP BY 1), mi AS (SELECT sum(c.n / w * ln(c.n * w / (ra.n * rb.n))) AS mi FROM c JOIN ra USING (a) JOIN rb USING (b), tot), e AS (SELECT m, s, s2, w, unnest(range(CAST(greatest(1, s + s2 - w) AS BIGINT), CAST(least(s, s2) AS BIGINT) + 1)) AS v FROM (SELECT x.m * y.m AS m, x.s, y.s AS s2, w FROM sa x, sb y, tot)), emi AS (SELECT sum(m * v / w * ln(w * v / (s * s2)) * exp({g.replace('x.s', 's').replace('y.s', 's2')})) AS emi FROM e) SELECT CAST(w AS BIGINT) AS items, round(mi, 6) AS mi, round((mi - emi) / (({h('ra')} + {h('rb')}) / 2 - emi), 5) AS ami FROM mi, emi, tot"
 
 
+@query(f"WITH p AS (SELECT a.pos AS a, b.lemma_group AS b FROM {_LEM} a JOIN {_LEM} b ON a.lemma_id = b.lemma_id WHERE a.pos IS NOT NULL AND b.lemma_group IS NOT NULL), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2), s AS (SELECT sum(n) AS items, sum(n * (n - 1) / 2.0) AS s FROM c), x AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY b)) SELECT CAST(items AS BIGINT) AS items, CASE WHEN items >= 10 THEN round((s - x.v * y.v / (items * (items - 1) / 2.0)) / ((x.v + y.v) / 2 - x.v * y.v / (items * (items - 1) / 2.0)), 6) END AS ari FROM s, x, y")
+def partition_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Two partitions of the lemmas compared over the lemmas that both label."""
+    a, b = (lemmas(spark, d).select("lemma_id", F.col(c).alias("label")) for c in ("pos", "lemma_group"))
+    return metrics.partition_agreement(a, b, "lemma_id", "label").withColumn("ari", F.round("ari", 6))
+
+
 @query(_ami_sql(f"SELECT pos AS a, lemma_group AS b FROM {_LEM}"))
 def adjusted_mutual_info(spark: SparkSession, d: str) -> DataFrame:
     return metrics.adjusted_mutual_information(lemmas(spark, d), "pos", "lemma_group").withColumns({"mi": F.round("mi", 6), "ami": F.round("ami", 5)})
@@ -478,6 +537,12 @@ def flags_with_default(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.flag_synsets(a.select("lemma", "synset_id").distinct(), flags).drop("reason")
 
 
+@query(f"SELECT row_id, greek_lemma, f AS sense_flag FROM (SELECT *, {_FLAG} AS f FROM {_ASG}) WHERE f IN ('core', 'plausible')")
+def kept_senses(spark: SparkSession, d: str) -> DataFrame:
+    """The assignments whose flag isn't noise."""
+    return lexicon.kept_senses(assignments(spark, d).select("row_id", "greek_lemma", F.expr(_FLAG).alias("sense_flag")))
+
+
 @query(f"WITH a AS (SELECT greek_lemma, min({_FLAG}) AS f FROM {_ASG} WHERE assignment = 'primary' GROUP BY 1), b AS (SELECT greek_lemma, min({_FLAG}) AS f FROM {_ASG} WHERE assignment <> 'primary' GROUP BY 1) SELECT a.f AS flag_a, b.f AS flag_b, count(*) AS n FROM a JOIN b ON a.greek_lemma = b.greek_lemma GROUP BY 1, 2")
 def flag_confusion(spark: SparkSession, d: str) -> DataFrame:
     """The flags of primary against those of other assignments of the same lemma."""
@@ -757,6 +822,13 @@ def best_categories(spark: SparkSession, d: str) -> DataFrame:
     return classify.best_categories(_gate(spark, d)).select("entry", "category", "is_best")
 
 
+@query(f"SELECT category, entry, round(pos_score, 6) AS pos_score, CAST(row_number() OVER (ORDER BY category, pos_score DESC, entry) AS BIGINT) AS place FROM {_GATE} WHERE base OR seed")
+def sorted_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Assignments by category and falling score, with their place in that order (L4)."""
+    placed = terms.ranked(_gate(spark, d), F.col("category"), F.desc("pos_score"), F.col("entry"))
+    return placed.select("category", "entry", F.round("pos_score", 6).alias("pos_score"), F.col("rank").cast("bigint").alias("place"))
+
+
 @query(f"SELECT entry, string_agg(category, ',' ORDER BY category) AS categories FROM (SELECT DISTINCT entry, category FROM {_GATE} WHERE base OR seed) GROUP BY entry")
 def categories_by_entry(spark: SparkSession, d: str) -> DataFrame:
     g = _gate(spark, d)

@@ -190,11 +190,57 @@ def test_density_and_communities():
     assert lab[60] == -1
     assert (cluster.density_labels(v[:3], 5, 1) == -1).all()
     edges = [(i, j, 1.0) for g in (range(5), range(5, 10)) for i in g for j in g if i < j] + [(0, 5, 0.1)]
-    found = cluster.louvain(edges, 1.0)
+    found = cluster.leiden(edges, 1.0)
     assert len({found[i] for i in range(5)}) == len({found[i] for i in range(5, 10)}) == 1
     assert found[0] != found[5]
 
 
+def test_communities_are_connected_and_good():
+    rng = np.random.default_rng(3)
+    group = rng.integers(0, 6, 150)
+    edges = [(i, j, 1.0) for i in range(150) for j in range(i) if rng.random() < (0.3 if group[i] == group[j] else 0.02)]
+
+    def quality(lab):
+        m = sum(w for *_, w in edges)
+        degree, inside = {}, 0.0
+        for a, b, w in edges:
+            inside += w * (lab[a] == lab[b])
+            for x in (a, b):
+                degree[lab[x]] = degree.get(lab[x], 0.0) + w
+        return inside / m - sum((v / (2 * m)) ** 2 for v in degree.values())
+
+    found = cluster.leiden(edges, 1.0)
+    assert cluster.leiden(edges, 1.0) == found
+    assert quality(found) >= quality(dict(enumerate(group.tolist()))) - 0.01
+    near = cluster._neighbours(edges)
+    for c in set(found.values()):
+        nodes = {x for x in found if found[x] == c}
+        reached, todo = set(), [min(nodes)]
+        while todo:
+            x = todo.pop()
+            if x not in reached:
+                reached.add(x)
+                todo += [y for y in near[x] if y in nodes]
+        assert reached == nodes
+    sizes = [list(found.values()).count(c) for c in range(len(set(found.values())))]
+    assert sizes == sorted(sizes, reverse=True)
+    assert len(set(cluster.leiden(edges, 5.0).values())) > len(sizes)
+    assert cluster.leiden([]) == {}
+
+
+def test_factors_of_a_product():
+    rng = np.random.default_rng(1)
+    w, h = rng.random((40, 3)) * (rng.random((40, 3)) < 0.5), rng.random((3, 30)) * (rng.random((3, 30)) < 0.5)
+    x = w @ h
+    d, t = np.nonzero(x)
+    a, b = terms.factorise(d, t, x[d, t], 40, 30, 3, 500)
+    assert (a >= 0).all() and (b >= 0).all()
+    assert np.linalg.norm(x - a @ b) < 0.05 * np.linalg.norm(x)
+    u, s, v = terms._svd(d, t, x[d, t], 40, 30, 3)
+    assert np.allclose(s, np.linalg.svd(x)[1][:3]) and np.allclose(np.abs(u.T @ u), np.eye(3), atol=1e-6)
+    assert all(m.shape[i] == 3 for m, i in zip(terms.factorise(d[:1], t[:1], x[d, t][:1], 40, 30, 3, 5), (1, 0), strict=True))
+
+
 def test_senses(spark):
     rng = np.random.default_rng(5)
     two = [("w", i, (np.eye(4)[i % 2] + rng.normal(0, 0.05, 4)).tolist()) for i in range(40)]
