@@ -78,7 +78,8 @@ def class_tfidf(df: DataFrame, cluster: str, text: str, stops: tuple[str, ...] =
     """
     rows = df.filter(labelled(cluster))
     words = rows.select(cluster, class_words(F.coalesce(F.col(text), F.lit("")), stops).alias("_w"))
-    tf = term_counts(words.select(cluster, words_and_pairs(F.col("_w")).alias("t")), "t", [cluster])
+    # written once: totals, spread and scores read the counts, not the texts
+    tf = cut(term_counts(words.select(cluster, words_and_pairs(F.col("_w")).alias("t")), "t", [cluster]), "tf")
     totals = tf.groupBy(cluster).agg(F.sum("n").alias("total"))
     spread = tf.groupBy("term").agg(F.count("*").alias("df"))
     clusters = rows.agg(F.countDistinct(cluster)).scalar()
@@ -127,7 +128,7 @@ def tfidf(df: DataFrame, doc: str, tokens: str, min_df: int = 3) -> DataFrame:
 
     tokens holds lower-case tokens; n counts all documents, those without tokens included.
     """
-    tf = term_counts(df, tokens, [doc])
+    tf = cut(term_counts(df, tokens, [doc]), "tf")
     spread = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     n = df.agg(F.count("*")).scalar()
     raw = join_stats(tf, spread, "term", "df", doc).select(doc, "term", (F.col("n") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
