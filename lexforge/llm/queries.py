@@ -48,7 +48,7 @@ def _forms(spark: SparkSession, d: str, values: DataFrame) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The values that differ from their consistent form, or mix scripts in a way the vocabulary doesn't settle."""
-    dirty = _values(spark, d).filter(~unify.is_clean(F.col("value")))
+    dirty = cut(_values(spark, d).filter(~unify.is_clean(F.col("value"))), "dirty")  # few, and read twice
     forms = _forms(spark, d, dirty).filter("form <> value OR open").select("value")
     return dirty.join(forms, "value", "left_semi").select("field", "record_id", F.col("token_pos").cast("int").alias("token_pos"))
 
@@ -159,7 +159,9 @@ MAX_N = 3
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
     """field, record_id, terms: the lemmas of a passage in the form of problem 1; the homer_count of a lemma as text."""
     rows = one_per_id(table(spark, d, "passages"), "passage_id", F.col("tokens.lemma").alias("lemma"))
-    dirty = rows.select("passage_id", F.explode(F.array_distinct(F.filter("lemma", lambda x: x.isNotNull() & ~unify.is_clean(x)))).alias("value"))
+    # the forms of all values, of rows sent again too, so that only the sequences themselves have one row per id
+    every = table(spark, d, "passages").select("passage_id", F.explode(F.array_distinct(F.filter("tokens.lemma", lambda x: x.isNotNull() & ~unify.is_clean(x)))).alias("value"))
+    dirty = cut(every.filter("passage_id IS NOT NULL").distinct(), "dirty")
     # only passages with a lemma in another form get a map; the rest pass as they are
     forms = dirty.join(_forms(spark, d, dirty), "value").groupBy("passage_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "form"))).alias("to"))
     form = lambda x: F.nullif(F.coalesce(F.try_element_at(F.col("to"), x), x), F.lit(""))
