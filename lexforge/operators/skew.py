@@ -24,8 +24,11 @@ def join_stats(rows: DataFrame, stats: DataFrame, key: str, weight: str, spread_
     """
     stats = cut(stats, "stats")
     names = [c for c in stats.columns if c != key]
-    total, largest, keys = stats.agg(F.sum(weight), F.max(F.octet_length(key)), F.count("*")).first()
-    if keys * ((largest or 0) + 16 + 8 * len(names)) <= broadcast_bytes:
+    kinds = dict(stats.dtypes)
+    nested = [c for c in names if "<" in kinds[c]]  # measured as text; other values take eight bytes
+    wide = F.max(F.length(F.to_json(F.struct(*nested)))) if nested else F.lit(0)
+    total, largest, rest, keys = stats.agg(F.sum(weight), F.max(F.octet_length(key)), wide, F.count("*")).first()
+    if keys * ((largest or 0) + (rest or 0) + 16 + 8 * len(names)) <= broadcast_bytes:
         return rows.join(F.broadcast(stats), key).select(*rows.columns, *names)
     least = max(min(total // slices, KEY_ROWS), total // HOT_KEYS)
     hot = stats.filter(F.col(weight) > least).select(key, F.struct(*names).alias("_hot"))
