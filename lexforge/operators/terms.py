@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import os
+from collections.abc import Callable, Iterator
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import BarrierTaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import window_id
@@ -156,40 +160,78 @@ def _product(at: np.ndarray, other: np.ndarray, x: np.ndarray, m: np.ndarray, n:
     out = np.zeros((n, m.shape[1]))
     if len(at):
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        out[at[first]] = np.add.reduceat(x[:, None] * m[other], first, axis=0)
+        rows, columns = at[first], np.ascontiguousarray(m.T)
+        for j in range(m.shape[1]):  # a column at a time, as sums over neighbouring numbers are several times faster
+            out[rows, j] = np.add.reduceat(x * columns[j][other], first)
     return out
 
 
-def _svd(d: np.ndarray, t: np.ndarray, x: np.ndarray, rows: int, cols: int, k: int, seed: int = 42, power: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first k singular triples of a sparse matrix by a random range and power iterations."""
+class Share:
+    """A block of the columns of a matrix, `part` of several that are worked on at the same time: `columns` are their places
+    among `total` in all, and gather(array) gives the arrays of all blocks in order, the same in every block."""
+
+    def __init__(self, columns: np.ndarray, total: int, part: int = 0, gather: Callable[[np.ndarray], list[np.ndarray]] = lambda a: [a]) -> None:
+        self.columns, self.total, self.part, self.gather = columns, total, part, gather
+
+    def sum(self, a: np.ndarray) -> np.ndarray:
+        return sum(self.gather(a))
+
+    def qr(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """This block's rows of Q, and R, of the blocks' rows under each other."""
+        q, r = np.linalg.qr(a)
+        all_r = self.gather(r)
+        joint, r = np.linalg.qr(np.concatenate(all_r))
+        first = sum(map(len, all_r[: self.part]))
+        return q @ joint[first : first + len(all_r[self.part])], r
+
+    def normal(self, width: int, seed: int) -> np.ndarray:
+        """This block's rows of a random matrix that is the same however the columns are dealt out."""
+        rng, out = np.random.default_rng(seed), np.empty((len(self.columns), width))
+        for at in range(0, self.total, 65536):
+            rows = rng.normal(size=(min(65536, self.total - at), width))
+            here = (self.columns >= at) & (self.columns < at + 65536)
+            out[here] = rows[self.columns[here] - at]
+        return out
+
+
+def _svd(d: np.ndarray, t: np.ndarray, x: np.ndarray, rows: int, cols: int, k: int, seed: int = 42, power: int = 8, share: Share | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k singular triples of a sparse matrix by a random range and power iterations; of v the block's columns."""
+    share = share or Share(np.arange(cols), cols)
     by_row, by_col = np.argsort(d, kind="stable"), np.argsort(t, kind="stable")
-    left = lambda m: _product(d[by_row], t[by_row], x[by_row], m, rows)
-    right = lambda m: _product(t[by_col], d[by_col], x[by_col], m, cols)
-    width = min(k + 10, rows, cols)
-    q = np.linalg.qr(left(np.random.default_rng(seed).normal(size=(cols, width))))[0]
+    left = lambda m: share.sum(_product(d[by_row], t[by_row], x[by_row], m, rows))
+    right = lambda m: share.qr(_product(t[by_col], d[by_col], x[by_col], m, cols))
+    q = np.linalg.qr(left(share.normal(min(k + 10, rows, share.total), seed)))[0]
     for _ in range(power):
-        q = np.linalg.qr(left(np.linalg.qr(right(q))[0]))[0]
-    u, s, v = np.linalg.svd(right(q).T, full_matrices=False)
-    return (q @ u)[:, :k], s[:k], v[:k]
+        q = np.linalg.qr(left(right(q)[0]))[0]
+    b, r = right(q)
+    u, s, v = np.linalg.svd(r.T, full_matrices=False)
+    return (q @ u)[:, :k], s[:k], (v @ b.T)[:k]
 
 
-def factorise(d: np.ndarray, t: np.ndarray, x: np.ndarray, rows: int, cols: int, k: int, rounds: int = 500, tolerance: float = 1e-4, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+def factorise(d: np.ndarray, t: np.ndarray, x: np.ndarray, rows: int, cols: int, k: int, rounds: int = 500, tolerance: float = 1e-4, seed: int = 42, share: Share | None = None) -> tuple[np.ndarray, np.ndarray]:
     """W (rows x k), H (k x cols) of a sparse non-negative matrix: coordinate descent on the squared error from the
     non-negative parts of the singular vectors (Boutsidis and Gallopoulos 2008), until the projected gradient has
-    fallen to `tolerance` of that of the first round."""
-    u, s, v = _svd(d, t, x, rows, cols, k, seed)
+    fallen to `tolerance` of that of the first round.
+
+    With share, (d, t, x) and H are a block of `cols` columns. Blocks exchange sums of W's size once a round, every block
+    keeping all of W; they end together, as they go by the same gathered numbers.
+    """
+    share = share or Share(np.arange(cols), cols)
+    u, s, v = _svd(d, t, x, rows, cols, k, seed, share=share)
     w, h = np.zeros((rows, k)), np.zeros((k, cols))
+    squares = share.sum(np.stack([(np.maximum(v, 0) ** 2).sum(1), (np.maximum(-v, 0) ** 2).sum(1)]))
     for j in range(len(s)):
         a, b = u[:, j], v[j]
-        sides = [(np.maximum(sign * a, 0), np.maximum(sign * b, 0)) for sign in (1, -1)]
-        p, q = (np.abs(a), np.abs(b)) if j == 0 else max(sides, key=lambda side: np.linalg.norm(side[0]) * np.linalg.norm(side[1]))
-        size = np.linalg.norm(p) * np.linalg.norm(q)
+        sides = [(np.maximum(sign * a, 0), np.maximum(sign * b, 0), np.sqrt(n)) for sign, n in zip((1, -1), squares[:, j], strict=True)]
+        p, q, n = (np.abs(a), np.abs(b), np.sqrt(squares[:, j].sum())) if j == 0 else max(sides, key=lambda side: np.linalg.norm(side[0]) * side[2])
+        size = np.linalg.norm(p) * n
         if size > 0:
             scale = np.sqrt(s[j] * size)
-            w[:, j], h[j] = scale * p / np.linalg.norm(p), scale * q / np.linalg.norm(q)
+            w[:, j], h[j] = scale * p / np.linalg.norm(p), scale * q / n
     w[w < 1e-6] = 0
     h[h < 1e-6] = 0
     by_row, by_col = np.argsort(d, kind="stable"), np.argsort(t, kind="stable")
+    of_row, of_col = (d[by_row], t[by_row], x[by_row]), (t[by_col], d[by_col], x[by_col])
 
     def descend(f: np.ndarray, gram: np.ndarray, target: np.ndarray) -> float:
         moved = 0.0
@@ -200,33 +242,98 @@ def factorise(d: np.ndarray, t: np.ndarray, x: np.ndarray, rows: int, cols: int,
                 f[:, j] = np.maximum(f[:, j] - slope / gram[j, j], 0)
         return moved
 
-    first, ht = None, np.ascontiguousarray(h.T)
-    for _ in range(rounds):
-        moved = descend(w, ht.T @ ht, _product(d[by_row], t[by_row], x[by_row], ht, rows))
-        moved += descend(ht, w.T @ w, _product(t[by_col], d[by_col], x[by_col], w, cols))
-        first = moved if first is None else first
-        if moved <= tolerance * first:
-            break
+    first, ht, moved = None, np.ascontiguousarray(h.T), (0.0, 0.0)
+    for r in range(rounds):
+        every = share.gather(np.concatenate([_product(*of_row, ht, rows), ht.T @ ht, np.full((1, k), moved[0]), np.full((1, k), moved[1])]))
+        if r:
+            last = every[0][-2, 0] + sum(e[-1, 0] for e in every)
+            first = last if first is None else first
+            if last <= tolerance * first:
+                break
+        sums = sum(every)
+        on_rows = descend(w, sums[rows:-2], sums[:rows])
+        moved = on_rows, descend(ht, w.T @ w, _product(*of_col, w, cols))
     return w, ht.T
 
 
-def nmf_topics(weights: DataFrame, doc: str, topics: int = 20, rounds: int = 500, seed: int = 42, documents: int = 20_000, terms: int = 20_000) -> tuple[DataFrame, DataFrame]:
+#: Entries of the table for each task that factorises, and bytes that the tasks exchange in a round.
+TASK_ENTRIES, ROUND_BYTES = 20_000, 64 << 20
+
+
+def _meet() -> tuple[int, Callable[[np.ndarray], list[np.ndarray]]]:
+    """This task's place in a barrier stage and a function that gives the arrays of all its tasks, through the first task.
+
+    Spark's allGather takes a second a call, so it only tells where the first task listens; a lost task ends the others.
+    """
+    context = BarrierTaskContext.get()
+    me, hosts = context.partitionId(), [i.address.rsplit(":", 1)[0] for i in context.getTaskInfos()]
+    key = os.urandom(16)
+    listener = Listener((hosts[0], 0), backlog=len(hosts), authkey=key) if me == 0 else None
+    port, key = json.loads(context.allGather(json.dumps([listener.address[1], key.hex()] if listener else None))[0])
+    if listener is None:
+        to = Client((hosts[0], port), authkey=bytes.fromhex(key))
+        to.send(me)
+
+        def ask(a: np.ndarray) -> list[np.ndarray]:
+            to.send(a)
+            return to.recv()
+
+        return me, ask
+    others = {(c := listener.accept()).recv(): c for _ in hosts[1:]}
+
+    def answer(a: np.ndarray) -> list[np.ndarray]:
+        every = [a, *[others[i].recv() for i in range(1, len(hosts))]]
+        for c in others.values():
+            c.send(every)
+        return every
+
+    return me, answer
+
+
+def _slots(spark: SparkSession) -> int:
+    """Tasks that can run at the same time, 1 where the number may change."""
+    if spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 1
+    sc = spark.sparkContext._jsc.sc()
+    return max(1, sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile()))
+
+
+def nmf_topics(weights: DataFrame, doc: str, topics: int = 20, rounds: int = 500, seed: int = 42, documents: int = 20_000, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc, topic, weight) and (topic, term, weight): Frobenius NMF of a tf-idf table, as by factorise.
 
-    The reference factorises about a thousand windows on one machine; here too it is a driver step on a bounded
-    table: at most `documents` documents and `terms` terms, counted before anything is collected, or an error tells
-    so. Beyond that use als_topics.
+    The terms and their entries are dealt out to tasks of one barrier stage (`parts`, by default as many as entries
+    need and run at once), so any number of terms will do; none comes to the driver. Every task holds the documents'
+    factor, as documents are windows of a corpus, about a thousand: more than `documents` are an error. Beyond that
+    use als_topics.
     """
-    if weights.select(doc).distinct().count() > documents or weights.select("term").distinct().count() > terms:
-        raise ValueError("the table is too large for the driver; use als_topics")
-    rows = weights.toArrow()
-    d, di = np.unique(rows[doc].to_numpy(zero_copy_only=False), return_inverse=True)
-    t, ti = np.unique(np.array(rows["term"].to_pylist(), object), return_inverse=True)
-    w, h = factorise(di, ti, rows["weight"].to_numpy(), len(d), len(t), topics, rounds, seed=seed)
-    spark = weights.sparkSession
-    kind = dict(weights.dtypes)[doc]
-    a = spark.createDataFrame([(d[i].item() if hasattr(d[i], "item") else d[i], k, float(w[i, k])) for i in range(len(d)) for k in range(topics)], f"{doc} {kind}, topic int, weight double")
-    b = spark.createDataFrame([(k, str(t[j]), float(h[k, j])) for k in range(topics) for j in range(len(t)) if h[k, j] > 1e-9], "topic int, term string, weight double")
+    spark, kind = weights.sparkSession, dict(weights.dtypes)[doc]
+    rows = cut(weights.select(F.col(doc).alias("_doc"), "term", F.col("weight").cast("double").alias("x")), "weights")
+    entries, n = rows.agg(F.count("*"), F.countDistinct("_doc")).first()
+    if n > documents:
+        raise ValueError("the table is too large: more documents than a task can hold; use als_topics")
+    place = lambda c: ranked(rows.select(c).filter(F.col(c).isNotNull()).distinct(), F.col(c)).select(c, (F.col("rank") - 1).cast("long").alias(f"_{c}_at"))
+    docs, words = place("_doc"), place("term")
+    m = words.count()
+    parts = parts or min(_slots(spark), 1 + entries // TASK_ENTRIES, max(1, ROUND_BYTES // (11 * topics * max(n, 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        d, t, x = (np.concatenate([b.column(i).to_numpy() for b in got]) if got else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+        order = np.lexsort((t, d))
+        columns, t = np.unique(t, return_inverse=True)
+        share = Share(columns, m)
+        if parts > 1:
+            share = Share(columns, m, *_meet())
+        w, h = factorise(d[order], t[order], x[order], n, len(columns), topics, rounds, seed=seed, share=share) if m else (np.zeros((0, topics)), np.zeros((topics, 0)))
+        topic, at = np.nonzero(h > 1e-9)
+        yield pa.record_batch([pa.array(np.full(len(at), 1, np.int32)), pa.array(columns[at]), pa.array(topic.astype(np.int32)), pa.array(h[topic, at])], names=["_side", "_at", "topic", "weight"])
+        if share.part == 0:
+            yield pa.record_batch([pa.array(np.zeros(w.size, np.int32)), pa.array(np.repeat(np.arange(len(w)), topics)), pa.array(np.tile(np.arange(topics, dtype=np.int32), len(w))), pa.array(w.ravel())], names=["_side", "_at", "topic", "weight"])
+
+    dealt = rows.join(F.broadcast(docs), "_doc").join(words, "term").select("__doc_at", "_term_at", "x").repartition(parts, "_term_at")
+    found = cut(dealt.mapInArrow(run, "_side int, _at long, topic int, weight double", barrier=parts > 1), "factors")
+    a = found.filter("_side = 0").join(F.broadcast(docs), F.col("_at") == F.col("__doc_at")).select(F.col("_doc").cast(kind).alias(doc), "topic", "weight")
+    b = found.filter("_side = 1").join(words, F.col("_at") == F.col("_term_at")).select("topic", "term", "weight")
     return a, b
 
 

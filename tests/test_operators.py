@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import Window
@@ -170,6 +171,26 @@ def test_factorisation_is_refused_before_it_is_collected(spark):
         terms.nmf_topics(w, "d", 2, documents=20)
 
 
+def test_factorisation_takes_any_number_of_terms(spark):
+    rng = np.random.default_rng(5)
+    theme = lambda i: rng.choice(7000, 7000, False) + 7000 * (i % 3)
+    entries = {(i, int(j)): 1.0 + rng.random() for i in range(12) for j in theme(i)}
+    table = pa.table({"d": [f"w{i:02d}" for i, _ in entries], "term": [f"t{j:05d}" for _, j in entries], "weight": list(entries.values())})
+    w = spark.createDataFrame(table)
+    d, t = (np.array(x) for x in zip(*entries, strict=True))
+    want_w, want_h = terms.factorise(d, t, np.array(list(entries.values())), 12, 21000, 3)
+    for parts in (1, 4):  # 21,000 terms, dealt out to as many tasks
+        a, b = terms.nmf_topics(w, "d", 3, parts=parts)
+        got_w, got_h = np.zeros((12, 3)), np.zeros((3, 21000))
+        for r in a.collect():
+            got_w[int(r["d"][1:]), r["topic"]] = r["weight"]
+        for r in b.collect():
+            got_h[r["topic"], int(r["term"][1:])] = r["weight"]
+        assert np.allclose(got_w, want_w, atol=1e-6) and np.allclose(got_h, want_h, atol=1e-6)
+    assert [x.count() for x in terms.nmf_topics(w.limit(0), "d", 2)] == [0, 0]
+    assert [x.count() for x in terms.nmf_topics(w.limit(1), "d", 1, parts=3)] == [1, 1]  # blocks without terms
+
+
 def test_elements_hold_tokens_and_frames_hold_elements(spark):
     t = spark.createDataFrame([(1, 1, 0, 3), (1, 2, 5, 9), (1, 3, 11, None)], "s int, token_pos int, start int, end int")
     e = spark.createDataFrame([(1, 7, 4, 9), (1, 8, 0, 8), (1, 9, None, 3)], "s int, fe_id int, start int, end int")
