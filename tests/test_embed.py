@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from conftest import rows
 
@@ -33,6 +35,25 @@ def test_subword_vectors_share_stems():
     assert len(embed.subwords("abc")) == len({"<ab", "abc", "bc>", "<abc", "abc>", "<abc>"})
 
 
+def test_subword_vectors_put_a_batch_together_once():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(40)]
+    sentences = [[words[k] for k in rng.integers(0, 40, 20)] for _ in range(150)]
+    at = time.process_time()
+    assert len(embed.subword_vectors(sentences, epochs=1)) == 40
+    took = time.process_time() - at
+    # half of what adding the parts of every pair one by one takes, for about 33 batches of 512 pairs and 27 parts
+    rows, into = rng.integers(0, 1 << 16, 512 * 27), np.zeros((1 << 16, 100))
+    at = time.process_time()
+    for _ in range(33):
+        np.add.at(into, rows, np.ones((len(rows), 100)))
+    assert took < 0.5 * (time.process_time() - at)
+
+
+def test_subword_model_of_nothing(spark):
+    assert rows(embed.subword_model(spark.createDataFrame([([],), (["a"],)], "tokens array<string>"), dims=4)) == []
+
+
 def test_correlation_topics_follow_anchors(spark):
     rng = np.random.default_rng(2)
     data = []
