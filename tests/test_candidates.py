@@ -61,3 +61,43 @@ def test_query_takes_all_words(spark, tmp_path):
     spark.createDataFrame(frames, "row_id bigint, gloss string").write.parquet(f"{tmp_path}/lemma_frames.parquet")
     got = {r["id"]: (r["synset"], r["id_match"]) for r in reference.resolved_synsets(spark, str(tmp_path)).collect()}
     assert got == {1: (10, "exact_gloss"), 2: (12, "lemma_set"), 3: (None, "unresolved")}
+
+
+def test_few_texts_are_compared_whole(monkeypatch):
+    rng = np.random.default_rng(9)
+    roots = ["barley", "deck", "cellar", "lamp", "debt", "hawk", "mouth", "rain", "weaver", "seed", "paint", "fold", "hearth", "singer", "stag", "ὁδός", "ξένος", "wave"]
+    word = lambda: "".join(rng.choice(roots, 2))
+    text = lambda n: " ".join(["the", *(word() for _ in range(n))])
+    dictionary = [("n", t.split(), t, i) for i in range(3000) for t in [text(int(rng.integers(1, 9)))]] + [("n", ["the"], None, 9000), ("n", ["the"], "the " * 60, 9001)]
+    near = dictionary[17][2].replace("a", "e", 1) + " of"
+    asked = [("n", t.split(), t) for t in [near, "the " * 55 + "x", *(text(int(n)) for n in rng.integers(3, 9, 12))]]
+    seen, common = [], Chunk.common
+    monkeypatch.setattr(Chunk, "common", lambda self, text, at: seen.append(len(at)) or common(self, text, at))
+    chunk = Chunk(dictionary)
+    for pos, words, t in asked:
+        found = chunk.best(pos, words, t)
+        want = None
+        for _, lemmas, definition, key in dictionary:
+            if definition is None:
+                continue
+            a, b = set(words), set(lemmas)
+            r = difflib.SequenceMatcher(None, t, definition).ratio()
+            tier, o = (0 if t == definition else 1 if r >= 0.6 else 2), len(a & b) / len(a | b)
+            mine = (tier, -r if tier == 1 else 0.0, -o, -r, key)
+            want = mine if want is None or mine < want else want
+        assert (found[0], found[3]) == (want[0], want[4])
+    assert chunk.best(*asked[0])[0] == 1
+    assert sum(seen) < 0.05 * len(asked) * len(dictionary)
+
+
+def test_bounds_of_many_letters():
+    rng = np.random.default_rng(10)
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    texts = ["w " + "".join(rng.choice(letters[: int(m)], int(n))) for m, n in zip(rng.integers(5, 300, 400), rng.integers(1, 150, 400), strict=True)]
+    chunk = Chunk([("n", ["w"], t, i) for i, t in enumerate(texts)])
+    for t in texts[:5]:
+        at, bound = chunk.bounds(t[:-1] + "x", np.arange(400), 0.0)
+        assert (bound >= chunk.common(t[:-1] + "x", chunk.rank[at])).all()
+        ratios = [difflib.SequenceMatcher(None, t[:-1] + "x", b).ratio() for b in texts]
+        near, _ = chunk.bounds(t[:-1] + "x", np.arange(400), 0.3)
+        assert {i for i, r in enumerate(ratios) if r >= 0.3} <= {chunk.keys[x] for x in near}
